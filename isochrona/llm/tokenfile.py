@@ -17,6 +17,7 @@ stay together in the order of their texts; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -31,11 +32,22 @@ from pyspark.sql import functions as F
 
 from ._store import fresh_path, stage
 
-MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 400_000, 1.6
+MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 200_000, 1.6
 VOCABULARY = "byte_bpe_50k.json"
 #: White space next to a space: there a text is not cut.
 _DOUBLE = re.compile(r" \s|[^\S ] ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Within a part: between a Latin letter and a mark or line end, and around a single line end.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_INNER = re.compile(f"(?<=[{_LETTER}])(?=[.,;:!?\n][^{_LETTER}]|[.,;:!?\n]$|\n)|(?<=[.,;:!?])(?=\n[{_LETTER}])|(?<=[{_LETTER}.,;:!?]\n)(?=[{_LETTER}])")
+_LETTERS = re.compile(f" ?[{_LETTER}]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else those from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,12 +61,15 @@ class Encoder:
     so that the library sees each distinct part once as long as a bounded store of parts lasts."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
 
     def _bytes(self, encodings) -> list[bytes]:
         return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in encodings]
@@ -66,14 +81,25 @@ class Encoder:
         parts = [first, *map(" ".__add__, rest)]
         found = list(map(self.known.get, parts))
         if None in found:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({p for p, x in zip(parts, found, strict=True) if x is None})
-            own = dict(zip(new, self._bytes(self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            self.known.update(own)
-            found = [own[p] if x is None else x for p, x in zip(parts, found, strict=True)]
+            found = [self._part(p) if x is None else x for p, x in zip(parts, found, strict=True)]
         return b"".join(found)
 
+    def _part(self, part: str) -> bytes:
+        """A part from the store of parts, of which the generation before the last goes when one is full, or from the library."""
+        if (x := self.known.get(part)) is not None:
+            return x
+        if (x := self.old.get(part)) is None:
+            if (cuts := _INNER.split(part)) != [part]:
+                x = b"".join(map(self._part, cuts))
+            elif _LETTERS.fullmatch(part):  # one pre-token: the library's model step alone
+                x = np.asarray([t.id for t in self.model.model.tokenize(part.encode().decode("latin-1").translate(self.letters))], f"<u{self.width}").tobytes()
+            else:
+                x = self._bytes([self.model.encode(part, add_special_tokens=False)])[0]
+        if len(self.known) >= CACHE:
+            self.known, self.old = {}, self.known
+        self.known[part] = x
+        return x
+
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     """64 mixed bits of each 64-bit key (the finaliser of splitmix64)."""

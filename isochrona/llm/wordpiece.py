@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenfile import vocabulary_path
+from .tokenfile import byte_letters, vocabulary_path
 
 CACHE, BEGIN = 400_000, "Ġ"
 
@@ -69,13 +69,6 @@ class LongestMatch:
         return n, 0
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else those from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 def load(path: str) -> LongestMatch:
     """From a byte-level vocabulary: pieces that start with the letter of the space begin words, others go on."""
     pieces = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
