@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 
 from .tokenfile import vocabulary_path
 
-VOCABULARY, DROPOUT, VARIANTS, SEED, CACHE, SPACE = "piece_bpe_32k.model", 0.1, 8, 5, 80_000, "▁"
+VOCABULARY, DROPOUT, VARIANTS, SEED, CACHE, SPACE = "piece_bpe_32k.model", 0.1, 4, 5, 150_000, "▁"
+#: Parts up to this many characters are merged by scanning; NONE stands for no candidate.
+SHORT, NONE = 40, 1 << 60
 
 
 class Pieces:
@@ -52,18 +54,19 @@ class Pieces:
             self.text[i] = bytes([b])
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece goes on behind a space")
-        if any("\n" in p for p in self.id if len(p) > 1):
-            raise ValueError("a piece goes over a line's end")
+        self.inside = {a + b for p in self.id for a, b in zip(p, p[1:], strict=False)}
         self.threshold, self.seed = int(dropout * (1 << 32)), seed
         self.split = re.compile("|".join((f"{SPACE}*[^{SPACE}\n]+", f"{SPACE}+", "\n")))
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
     def merged(self, part: str, variant: int) -> list[int]:
         """Ids of one part: the agenda, with skipped candidates."""
+        key = zlib.crc32(part.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
+        if len(part) <= SHORT:
+            return self._ids(self._scanned(part, key))
         symbols: list[str | None] = list(part)
         n, rank, threshold = len(symbols), self.rank, self.threshold
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        key = zlib.crc32(part.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
         agenda = [(rank[p], i, 2, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in rank]
         heapq.heapify(agenda)
         while agenda:
@@ -83,11 +86,33 @@ class Pieces:
                     heapq.heappush(agenda, (rank[p], i, len(p), p))
             if (k := left[i]) >= 0 and (p := symbols[k] + piece) in rank:
                 heapq.heappush(agenda, (rank[p], k, len(p), p))
+        return self._ids([s for s in symbols if s is not None])
+
+    def _scanned(self, part: str, key: int) -> list[str]:
+        """The same agenda for a short part: the best candidate is looked for in a list."""
+        symbols, places, rank, threshold = list(part), list(range(len(part))), self.rank.get, self.threshold
+        best = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while best and (r := min(best)) != NONE:
+            j = best.index(r)
+            if threshold:
+                h = (key ^ r * 0x9E3779B1 ^ places[j] * 0x85EBCA77) * 0xC2B2AE3D & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF
+                if (h ^ (h >> 13)) < threshold:
+                    best[j] = NONE
+                    continue
+            symbols[j : j + 2] = [symbols[j] + symbols[j + 1]]
+            del places[j + 1], best[j]
+            if j < len(best):
+                best[j] = rank(symbols[j] + symbols[j + 1], NONE)
+            if j:
+                best[j - 1] = rank(symbols[j - 1] + symbols[j], NONE)
+        return symbols
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out = []
         for s in symbols:
-            if s is not None:
-                i = self.id.get(s)
-                out += [i] if i is not None else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
+            i = self.id.get(s)
+            out += [i] if i is not None else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
         return out
 
     def part(self, part: str, variant: int) -> bytes:
@@ -95,8 +120,10 @@ class Pieces:
         if (found := known.get(part)) is None:
             if len(known) > CACHE:
                 known.clear()
-            if len(part) > 1 and "\n" in part:
-                found = b"".join(self.part(x, variant) for x in self.split.findall(part))
+            # No merge goes over two characters that stand side by side in no piece: there the part is cut.
+            cuts = [i for i, c in enumerate(map(str.__add__, part, part[1:]), 1) if c not in self.inside]
+            if cuts:
+                found = b"".join(self.part(part[a:b], variant) for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True))
             else:
                 found = np.asarray(self.merged(part, variant), "<u4").tobytes()
             known[part] = found
