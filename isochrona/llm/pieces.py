@@ -1,10 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A byte-pair model merges adjacent symbols in the order of an agenda, best score first, leftmost on ties. Here a keyed hash of
-(seed, variant, part, place, piece) decides for each candidate merge that comes up whether it is skipped; a skipped one comes up
-again only if a neighbour has changed. So segmentations vary, yet are the same in every run. A part (a word with the spaces before
-it, inside which all merges happen) has VARIANTS segmentations that its occurrences take in turn. Without dropout the result is the
-library's own. Characters that no piece covers become byte pieces; so does the mark that stands for a space, if a text holds it.
+(seed, place in the text, piece) decides for each candidate merge that comes up whether it is skipped; a skipped one comes up
+again only if a neighbour has changed. So each occurrence of a word is cut in its own way, yet alike in every run. Without dropout
+the result is the library's own. Characters that no piece covers become byte pieces; so does the mark that stands for a space, if
+a text holds it.
+
+Runs of characters between places that no piece spans have agendas of their own. Those of a block of text are worked off together:
+a column each, one merge of every column a step. Runs beyond LONG characters take a heap each.
 
 Decoding joins the pieces' bytes and drops the space that stands before every text: it gives back each text exactly.
 
@@ -15,8 +18,7 @@ result; other columns are carried along.
 from __future__ import annotations
 
 import heapq
-import re
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,9 +28,43 @@ from pyspark.sql import types as T
 
 from .tokenfile import vocabulary_path
 
-VOCABULARY, DROPOUT, VARIANTS, SEED, CACHE, SPACE = "piece_bpe_32k.model", 0.1, 4, 5, 150_000, "▁"
-#: Parts up to this many characters are merged by scanning; NONE stands for no candidate.
-SHORT, NONE = 40, 1 << 60
+VOCABULARY, DROPOUT, SEED, SPACE = "piece_bpe_32k.model", 0.1, 5, "▁"
+#: Characters of a run that fit a column (6 bits of a candidate are its place), of a block of runs, and the width limits of columns.
+LONG, BLOCK, WIDTHS = 63, 1 << 17, (3, 5, 7, 9, 12, 16, 24, 40, 63)
+PLACE, NONE, FREE = LONG, np.int32(1 << 30), np.int64(-1)
+
+
+class PairTable:
+    """Open-addressed table from pairs of symbols to a value, looked up for whole arrays; NONE where a pair is not held."""
+
+    def __init__(self, left, right, *values):
+        keys = np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)
+        self.bits = max(8, int(4 * len(keys) + 1).bit_length())
+        self.keys = np.full(1 << self.bits, FREE)
+        self.values = [np.full(1 << self.bits, NONE, np.int32) for _ in values]
+        open_, at = np.arange(len(keys)), self._home(keys)
+        while len(open_):
+            free = self.keys[at] == FREE
+            self.keys[at[free]] = keys[open_[free]]  # the last of those that want a place gets it
+            won = self.keys[at] == keys[open_]
+            for own, v in zip(self.values, values, strict=True):
+                own[at[won]] = np.asarray(v, np.int32)[open_[won]]
+            open_, at = open_[~won], at[~won] + 1 & (1 << self.bits) - 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where each pair's values are: its own place, or a free one."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self._home(keys)
+        held = self.keys[at]
+        open_ = np.nonzero((held != keys) & (held != FREE))[0]
+        while len(open_):
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+            held = self.keys[at[open_]]
+            open_ = open_[(held != keys[open_]) & (held != FREE)]
+        return at
 
 
 class Pieces:
@@ -37,142 +73,199 @@ class Pieces:
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.get_piece_size())
+        names = [m.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-        self.id = {m.id_to_piece(i): i for i in plain}
+        score = {i: m.get_score(i) for i in plain}
         # Merge order: place of a piece by score, best first.
-        order = sorted(plain, key=lambda i: (-m.get_score(i), i))
-        self.rank, last, at = {}, None, -1
-        for i in order:
-            if m.get_score(i) != last:
-                last, at = m.get_score(i), at + 1
-            self.rank[m.id_to_piece(i)] = at
-        self.byte = {int(m.id_to_piece(i)[1:-1], 16): i for i in ids if m.is_byte(i)}
+        places = {s: at for at, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.bytes = np.zeros(256, np.int32)
         self.text = [b""] * len(ids)
         for i in plain:
-            self.text[i] = m.id_to_piece(i).replace(SPACE, " ").encode()
-        for b, i in self.byte.items():
-            self.text[i] = bytes([b])
-        if any(SPACE in p.lstrip(SPACE) for p in self.id):
-            raise ValueError("a piece goes on behind a space")
-        self.inside = {a + b for p in self.id for a, b in zip(p, p[1:], strict=False)}
+            self.text[i] = names[i].replace(SPACE, " ").encode()
+        for i in ids:
+            if m.is_byte(i):
+                b = int(names[i][1:-1], 16)
+                self.bytes[b], self.text[i] = i, bytes([b])
+        if any(SPACE in names[i].lstrip(SPACE) for i in plain) or len(places) << 6 >= NONE:
+            raise ValueError("a piece goes on behind a space, or there are too many")
+        # Symbols: the pieces by id, then single characters that only stand inside pieces; any other character is the last symbol.
+        symbol = {names[i]: i for i in plain}
+        self.n_ids = len(ids)
+        for c in sorted({c for p in symbol for c in p} - set(symbol)):
+            symbol[c] = self.n_ids + len(symbol)
+        self.other = max(self.n_ids, *symbol.values()) + 1
+        self.symbol = np.full(0x110000, self.other, np.int32)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self.symbol[ord(" ")], self.symbol[ord(SPACE)] = symbol[SPACE], self.other
+        found = [(a, b, places[score[i]], i) for i in plain for k in range(1, len(names[i])) if (a := symbol.get(names[i][:k])) is not None and (b := symbol.get(names[i][k:])) is not None]
+        self.pairs = PairTable(*zip(*found, strict=True))
+        self.rank, self.piece = self.pairs.values
+        inside = sorted({(symbol[a], symbol[b]) for i in plain for a, b in zip(names[i], names[i][1:], strict=False)})
+        self.inside = PairTable(*zip(*inside, strict=True), np.ones(len(inside)))
         self.threshold, self.seed = int(dropout * (1 << 32)), seed
-        self.split = re.compile("|".join((f"{SPACE}*[^{SPACE}\n]+", f"{SPACE}+", "\n")))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-
-    def merged(self, part: str, variant: int) -> list[int]:
-        """Ids of one part: the agenda, with skipped candidates."""
-        key = zlib.crc32(part.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
-        if len(part) <= SHORT:
-            return self._ids(self._scanned(part, key))
-        symbols: list[str | None] = list(part)
-        n, rank, threshold = len(symbols), self.rank, self.threshold
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(rank[p], i, 2, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in rank]
+
+    def _skipped(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Whether the keyed hash skips the merges to pieces of these ranks that begin at these places of a text."""
+        with np.errstate(over="ignore"):
+            x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64((self.seed + 1) * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(32)) < np.uint64(self.threshold)
+
+    def _columns(self, symbols: np.ndarray, place: np.ndarray, first: np.ndarray, length: np.ndarray, head: np.ndarray) -> None:
+        """Merges runs (first, length) of symbols in place; head marks where a symbol that is left begins."""
+        width = int(length.max())
+        size, back = np.ones(len(symbols), np.int8), np.ones(len(symbols), np.int8)
+        made = np.zeros(len(symbols), np.int32)
+        at = first + np.arange(width - 1)[:, None]
+        in_run = np.arange(width - 1)[:, None] < length - 1
+        row, column = np.nonzero(in_run)
+        i = at[row, column]
+        found = self.pairs.places(symbols[i], symbols[i + 1])
+        made[i] = self.piece[found]
+        rank = self.rank[found]
+        best = np.full((width, len(first)), NONE, np.int32)  # the last row stays empty
+        best[row, column] = np.where(rank == NONE, NONE, rank << 6 | row.astype(np.int32))
+        end = first + length
+        while True:
+            least = best.min(axis=0)
+            a = np.nonzero(least != NONE)[0]
+            if not len(a):
+                return
+            if len(a) < 0.8 * len(first):
+                best, first, end, least = best[:, a], first[a], end[a], least[a]
+                a = np.arange(len(a))
+            c = least[a]
+            row, rank = c & PLACE, c >> 6
+            i = first[a] + row
+            if self.threshold:
+                skip = self._skipped(place[i], rank)
+                best[row[skip], a[skip]] = NONE
+                a, row, i = a[~skip], row[~skip], i[~skip]
+            j = i + size[i]
+            n = size[i] + size[j]
+            symbols[i] = made[i]
+            head[j] = False
+            best[j - first[a], a] = NONE
+            size[i] = n
+            q = i + n
+            back[q - 1] = n
+            best[row, a] = NONE
+            for there, left, right in ((q < end[a], i, q), (row > 0, i - back[i - 1], i)):
+                k = np.nonzero(there)[0]
+                left, right = left[k], right[k]
+                found = self.pairs.places(symbols[left], symbols[right])
+                made[left] = self.piece[found]
+                rank, row_ = self.rank[found], (left - first[a[k]]).astype(np.int32)
+                best[row_, a[k]] = np.where(rank == NONE, NONE, rank << 6 | row_)
+
+    def _heap(self, symbols: np.ndarray, place: np.ndarray, first: int, length: int, head: np.ndarray) -> None:
+        """The same for one run of any length."""
+        own = symbols[first : first + length].tolist()
+        left, right = list(range(-1, length - 1)), list(range(1, length + 1))
+
+        def candidates(i: np.ndarray, a, b) -> list[tuple]:
+            found = self.pairs.places(np.asarray(a), np.asarray(b))
+            rank = self.rank[found]
+            real = (rank != NONE) & ~self._skipped(place[first + i], rank)
+            return list(zip(rank[real].tolist(), i[real].tolist(), np.asarray(a)[real].tolist(), np.asarray(b)[real].tolist(), self.piece[found][real].tolist(), strict=True))
+
+        agenda = candidates(np.arange(length - 1), own[:-1], own[1:])
         heapq.heapify(agenda)
         while agenda:
-            r, i, size, piece = heapq.heappop(agenda)
-            if symbols[i] is None or (j := right[i]) >= n or len(symbols[i]) + len(symbols[j]) != size or symbols[i] + symbols[j] != piece:
+            _, i, a, b, piece = heapq.heappop(agenda)
+            if own[i] != a or (j := right[i]) >= length or own[j] != b:
                 continue
-            if threshold:
-                h = (key ^ r * 0x9E3779B1 ^ i * 0x85EBCA77) * 0xC2B2AE3D & 0xFFFFFFFF
-                h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF
-                if (h ^ (h >> 13)) < threshold:
-                    continue
-            symbols[i], symbols[j] = piece, None
+            own[i], own[j], head[first + j] = piece, -1, False
             right[i] = k = right[j]
-            if k < n:
+            near = []
+            if k < length:
                 left[k] = i
-                if (p := piece + symbols[k]) in rank:
-                    heapq.heappush(agenda, (rank[p], i, len(p), p))
-            if (k := left[i]) >= 0 and (p := symbols[k] + piece) in rank:
-                heapq.heappush(agenda, (rank[p], k, len(p), p))
-        return self._ids([s for s in symbols if s is not None])
-
-    def _scanned(self, part: str, key: int) -> list[str]:
-        """The same agenda for a short part: the best candidate is looked for in a list."""
-        symbols, places, rank, threshold = list(part), list(range(len(part))), self.rank.get, self.threshold
-        best = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while best and (r := min(best)) != NONE:
-            j = best.index(r)
-            if threshold:
-                h = (key ^ r * 0x9E3779B1 ^ places[j] * 0x85EBCA77) * 0xC2B2AE3D & 0xFFFFFFFF
-                h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF
-                if (h ^ (h >> 13)) < threshold:
-                    best[j] = NONE
-                    continue
-            symbols[j : j + 2] = [symbols[j] + symbols[j + 1]]
-            del places[j + 1], best[j]
-            if j < len(best):
-                best[j] = rank(symbols[j] + symbols[j + 1], NONE)
-            if j:
-                best[j - 1] = rank(symbols[j - 1] + symbols[j], NONE)
-        return symbols
-
-    def _ids(self, symbols: list[str]) -> list[int]:
-        out = []
-        for s in symbols:
-            i = self.id.get(s)
-            out += [i] if i is not None else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
-        return out
-
-    def part(self, part: str, variant: int) -> bytes:
-        known = self.known[variant]
-        if (found := known.get(part)) is None:
-            if len(known) > CACHE:
-                known.clear()
-            # No merge goes over two characters that stand side by side in no piece: there the part is cut.
-            cuts = [i for i, c in enumerate(map(str.__add__, part, part[1:]), 1) if c not in self.inside]
-            if cuts:
-                found = b"".join(self.part(part[a:b], variant) for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True))
-            else:
-                found = np.asarray(self.merged(part, variant), "<u4").tobytes()
-            known[part] = found
-        return found
+                near.append((i, piece, own[k]))
+            if (k := left[i]) >= 0:
+                near.append((k, own[k], piece))
+            if near:
+                at, a, b = zip(*near, strict=True)
+                for x in candidates(np.asarray(at), a, b):
+                    heapq.heappush(agenda, x)
+        symbols[first : first + length] = own
+
+    def _block(self, codes: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of characters that begin at `first`, and the number of ids before each character."""
+        symbols, head = self.symbol[codes], np.ones(len(codes), bool)
+        length = np.diff(first, append=len(codes))
+        least = 2
+        for width in WIDTHS:
+            fits = np.nonzero((length >= least) & (length <= width))[0]
+            if len(fits):
+                self._columns(symbols, place, first[fits], length[fits], head)
+            least = width + 1
+        for k in np.nonzero(length > LONG)[0]:
+            self._heap(symbols, place, int(first[k]), int(length[k]), head)
+        odd = head & (symbols >= self.n_ids)
+        n = head.astype(np.int64)
+        n[odd] = 1 + (codes[odd] > 0x7F) + (codes[odd] > 0x7FF) + (codes[odd] > 0xFFFF)
+        out = np.repeat(symbols[head], n[head])
+        if odd.any():
+            plain = codes[odd].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            out[np.repeat(odd[head], n[head])] = self.bytes[np.frombuffer(plain, np.uint8)]
+        return out.astype(np.int32), np.cumsum(n) - n
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the texts are taken as one stream of characters, in blocks of whole runs."""
+        codes = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.asarray([len(t) + 1 if t else 0 for t in texts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        if not len(codes):
+            return [np.zeros(0, np.int32) for _ in texts]
+        symbols = self.symbol[codes]
+        cut = self.inside.values[0][self.inside.places(symbols[:-1], symbols[1:])] == NONE
+        begins = np.concatenate([[True], cut])
+        begins[starts[sizes > 0]] = True
+        first = np.nonzero(begins)[0]
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        ids, before, a, total = [], np.zeros(len(codes) + 1, np.int64), 0, 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCK)))
+            lo, hi = int(first[a]), int(first[b]) if b < len(first) else len(codes)
+            out, n = self._block(codes[lo:hi], place[lo:hi], first[a:b] - lo)
+            before[lo:hi] = n + total
+            ids.append(out)
+            a, total = b, total + len(out)
+        before[-1] = total
+        whole = np.concatenate(ids)
+        return [whole[before[s] : before[s + n]] for s, n in zip(starts, sizes, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if SPACE in text:
-            # The mark itself goes to bytes, what is around it is encoded as it stands.
-            mark = np.asarray([self.byte[b] for b in SPACE.encode()], np.int32)
-            first, *rest = text.split(SPACE)
-            whole = [self.encode(first) if first else np.asarray(self.merged(SPACE, 0), np.int32)]
-            for x in rest:
-                whole += [mark, self._parts([*self._cut(x)])] if x else [mark]
-            return np.concatenate(whole)
-        return self._parts([SPACE + x for x in text.split(" ")] if "  " not in text and text[0] != " " else self.split.findall(SPACE + text.replace(" ", SPACE)))
-
-    def _cut(self, text: str):
-        return self.split.findall(text.replace(" ", SPACE))
-
-    def _parts(self, parts: list[str]) -> np.ndarray:
-        out: list = [None] * len(parts)
-        for k in range(min(VARIANTS, len(parts))):
-            own = parts[k::VARIANTS]
-            found = list(map(self.known[k].get, own))
-            if None in found:
-                found = [self.part(p, k) if x is None else x for p, x in zip(own, found, strict=True)]
-            out[k::VARIANTS] = found
-        return np.frombuffer(b"".join(out), "<u4").astype(np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
+@lru_cache(maxsize=1)
+def _model(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Pieces:
+    """One model a worker process, kept from task to task."""
+    return Pieces(path, dropout, seed)
+
+
 def _encoded(path: str, dropout: float, seed: int, text: str):
     def run(parts):
-        model = Pieces(path, dropout, seed)
+        model = _model(path, dropout, seed)
         for p in parts:
-            size, rows, at = 0, [], 0
-            texts = p[text]
-            for i, t in enumerate(texts, 1):
-                rows.append(None if t is None else model.encode(t))
-                size += 0 if t is None else len(rows[-1])
-                if size >= 1 << 20 or i == len(texts):
-                    out = p.iloc[at:i].drop(columns=[text])
-                    out["ids"] = pd.Series(rows, index=out.index, dtype=object)
-                    yield out
-                    size, rows, at = 0, [], i
+            texts, at = p[text].tolist(), 0
+            ends = np.cumsum([0 if t is None else len(t) for t in texts])
+            while at < len(texts):
+                # Rows of about 2^20 characters at a time, one at least.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+                own = texts[at:to]
+                rows = [None if t is None else ids for t, ids in zip(own, model.encode_all([t or "" for t in own]), strict=True)]
+                out = p.iloc[at:to].drop(columns=[text])
+                out["ids"] = pd.Series(rows, index=out.index, dtype=object)
+                yield out
+                at = to
 
     return run
 
@@ -186,7 +279,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, d
 
 def _decoded(path: str):
     def run(parts):
-        model = Pieces(path)
+        model = _model(path)
         for p in parts:
             yield p.assign(text=[None if x is None else model.decode(x.tolist()) for x in p["ids"]]).drop(columns=["ids"])
 

@@ -168,6 +168,18 @@ def test_pieces_without_dropout_equal_library_and_all_decode(docs):
         assert varied.decode(varied.encode(text).tolist()) == text
 
 
+def test_piece_columns_equal_heap_and_blocks(monkeypatch, docs):
+    texts = ["", "a", "▁", "x▁y  z", " " * 200, "x" * 300 + "ab" * 200, *(r.text or "" for r in docs.limit(20).collect())]
+    model = pieces.Pieces(pieces.vocabulary_path(pieces.VOCABULARY))
+    columns = [x.tolist() for x in model.encode_all(texts)]
+    assert columns == [model.encode(t).tolist() for t in texts]
+    assert len({tuple(x) for x in (model.encode("w" * k + " international")[-6:].tolist() for k in range(40))}) > 1
+    monkeypatch.setattr(pieces, "BLOCK", 50)
+    monkeypatch.setattr(pieces, "LONG", 1)
+    monkeypatch.setattr(pieces, "WIDTHS", ())
+    assert columns == [x.tolist() for x in model.encode_all(texts)]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
