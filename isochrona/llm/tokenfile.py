@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._store import fresh_path, stage
 
-MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 200_000, 1.6
+MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 300_000, 1.6
 VOCABULARY = "byte_bpe_50k.json"
 #: White space next to a space: there a text is not cut.
 _DOUBLE = re.compile(r" \s|[^\S ] ")
@@ -101,6 +102,12 @@ class Encoder:
         return x
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a worker process: its store of parts is kept from task to task."""
+    return Encoder(path)
+
+
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     """64 mixed bits of each 64-bit key (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -193,7 +200,7 @@ def _store(uri: str):
 
 def _written(folder: str, path: str):
     def run(parts):
-        encode, task, done = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, task, done = _encoder(path), TaskContext.get().partitionId(), 0
         end = END_ID.to_bytes(encode.width, "little")
         keys, payloads, size = [], [], 0
 
