@@ -35,6 +35,8 @@ from ._store import fresh_path, stage
 
 MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 300_000, 1.6
 VOCABULARY = "byte_bpe_50k.json"
+#: Most tasks that read shards back.
+READERS = 20_000
 #: White space next to a space: there a text is not cut.
 _DOUBLE = re.compile(r" \s|[^\S ] ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -261,7 +263,8 @@ def _read(folder: str):
 
 def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
     """Per record: doc_id, start, n_tokens, ids_crc32, looked up by key in each file's index."""
-    files = manifest.select("file", "base").repartition("file")
+    # A given number of partitions: the rows are tiny, the files they name are not, so adaptive execution must not put them together.
+    files = manifest.select("file", "base").repartition(max(1, min(manifest.count(), READERS)), "file")
     return files.mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
