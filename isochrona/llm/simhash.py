@@ -86,7 +86,7 @@ def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS) -
     groups = components(stars, "simhash-star")
     grouped = stage(points.join(groups.withColumnRenamed("v", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS g"), "simhash-groups")
     # Keys under which different groups meet, with the largest of them.
-    seen = stage(members.select("k", "bits", "fp").join(grouped, "fp"), "simhash-seen")
+    seen = stage(grouped.selectExpr("fp", "g", f"inline({keys})"), "simhash-seen")
     met = seen.groupBy("k", "bits", "g").agg(F.count(F.lit(1)).alias("c"))
     met = met.groupBy("k", "bits").agg(F.max(F.struct("c", "g"))["g"].alias("most"), F.count(F.lit(1)).alias("gs")).where("gs > 1")
     met = stage(met.drop("gs"), "simhash-met")
