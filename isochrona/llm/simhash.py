@@ -49,13 +49,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(parts):
     for p in parts:
-        own = np.fromiter(map(fingerprint, p["_s_text"]), np.uint64, len(p)).view(np.int64)
-        yield pd.DataFrame({"_s_id": p["_s_id"], "_s_fp": own})
+        own = np.fromiter(map(fingerprint, p.pop("_s_text")), np.uint64, len(p)).view(np.int64)
+        yield p.assign(_s_fp=own)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(_s_id, _s_fp): the fingerprint as a signed 64-bit number."""
-    return docs.select(F.col(f"`{key}`").alias("_s_id"), F.col(f"`{text}`").alias("_s_text")).mapInPandas(_fingerprints, "_s_id long, _s_fp long")
+def fingerprints(docs: DataFrame, text: str = "text", keys: dict[str, str] | None = None) -> DataFrame:
+    """The key columns, given as SQL by name (all long), and _s_fp: the fingerprint as a signed 64-bit number."""
+    keys = keys or {"_s_id": "doc_id"}
+    rows = docs.select(*[F.expr(v).cast("long").alias(k) for k, v in keys.items()], F.col(f"`{text}`").alias("_s_text"))
+    return rows.mapInPandas(_fingerprints, ", ".join(f"{k} long" for k in [*keys, "_s_fp"]))
 
 
 def block_count(n: int) -> int:
@@ -114,9 +116,14 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents of least id of each group, one row of each; their own columns."""
-    prints = stage(fingerprints(docs, text, key), "simhash-docs")
-    kept = stage(clusters(prints).selectExpr("component_id AS _s_keep").distinct(), "simhash-kept")
-    rows = docs.withColumn("_s_key", F.col(f"`{key}`"))
-    best = rows.join(kept, F.col("_s_key").eqNullSafe(F.col("_s_keep")), "left_semi")
-    return best.dropDuplicates(["_s_key"]).drop("_s_key")
+    """The document of least id of each group, one row of each; their own columns.
+
+    Of documents of one id, that of the least text hash counts as the least; those without an id come after all others. A row is
+    known by these three, so that whole texts are shuffled once: repeated rows go before and after it, and the join with the kept
+    ones follows by the same key.
+    """
+    own = {"_s_none": f"cast(`{key}` IS NULL AS long)", "_s_key": f"coalesce(`{key}`, 0)", "_s_hash": f"xxhash64(`{text}`)"}
+    known = stage(fingerprints(docs, text, own).select(F.struct(*own).alias("_s_id"), "_s_fp"), "simhash-docs")
+    kept = stage(clusters(known).select("component_id.*").distinct(), "simhash-kept")
+    once = docs.withColumns({k: F.expr(v).cast("long") for k, v in own.items()}).dropDuplicates([*own])
+    return once.join(kept, [*own], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

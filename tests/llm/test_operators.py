@@ -194,6 +194,16 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def test_representatives_of_odd_ids(spark, odd):
+    kept = simhash.representatives(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in ((1, None), (None, "x y"), (4, LONG), (5, ODD[6][1]), (6, ODD[7][1])))
+    texts = ("one two three four five six", "red green blue white black brown", "north south east west up down")
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (None, texts[2]), (None, texts[2]), (None, "x y"), (9, texts[0])]
+    got = simhash.representatives(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(7, texts[0]), (7, texts[1]), (0, texts[2]), (0, "x y")])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
