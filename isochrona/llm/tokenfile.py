@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._store import fresh_path, stage
 
-MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 300_000, 1.6
+MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 600_000, 1.6
 VOCABULARY = "byte_bpe_50k.json"
 #: Most tasks that read shards back.
 READERS = 20_000
@@ -72,8 +72,12 @@ class Encoder:
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.step = self.model.model.tokenize
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
 
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def _bytes(self, encodings) -> list[bytes]:
         return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in encodings]
 
@@ -92,10 +96,10 @@ class Encoder:
         if (x := self.known.get(part)) is not None:
             return x
         if (x := self.old.get(part)) is None:
-            if (cuts := _INNER.split(part)) != [part]:
+            if _LETTERS.fullmatch(part):  # one pre-token: the library's model step alone
+                x = self.pack([t.id for t in self.step(part.encode().decode("latin-1").translate(self.letters))])
+            elif len(cuts := _INNER.split(part)) > 1:
                 x = b"".join(map(self._part, cuts))
-            elif _LETTERS.fullmatch(part):  # one pre-token: the library's model step alone
-                x = np.asarray([t.id for t in self.model.model.tokenize(part.encode().decode("latin-1").translate(self.letters))], f"<u{self.width}").tobytes()
             else:
                 x = self._bytes([self.model.encode(part, add_special_tokens=False)])[0]
         if len(self.known) >= CACHE:
