@@ -133,6 +133,7 @@ def _gathered(parts):
                 words = Counter()
     if held:
         yield flush_pairs()
+    if words:
         yield flush_words()
 
 

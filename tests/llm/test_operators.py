@@ -77,6 +77,16 @@ def test_base_scores_are_exact(docs):
     assert sum(g.score for g in out) > sum(g.base_score for g in out)
 
 
+@pytest.mark.parametrize("most", [(10, 100), (100, 3), (5, 3), (1, 100), (1, 1)])
+def test_all_tokens_are_counted_whatever_is_held(monkeypatch, most):
+    import pandas as pd
+
+    monkeypatch.setattr(ngram, "PAIRS_HELD", most[0])
+    monkeypatch.setattr(ngram, "WORDS_HELD", most[1])
+    found = pd.concat(ngram._gathered([pd.DataFrame({"t": ["a b c d", "e f g h"]}), pd.DataFrame({"t": []})]))
+    assert found["n"][found["w"].notna()].sum() == found["n"][found["w"].isna()].sum() == 10
+
+
 def test_longest_match_equals_greedy():
     match = wordpiece.LongestMatch(["a", "ab", "abc"], ["b", "c", "cd", "bcd", "e"])
     inner, begin = {"b", "c", "cd", "bcd", "e"}, {"a", "ab", "abc"}
