@@ -3,8 +3,8 @@
 Counts of words and word pairs of the training texts are quantised on a logarithmic scale; a filter holds each n-gram once for
 every level up to its own, so that probing level 1, 2, ... until one is absent gives the level back, and false positives can only
 raise it. The filter is cut into segments; all bits of an n-gram lie in one, so segments are built independently of each other.
-Its size follows the number of entries up to MOST_BITS, the proven bound of what is broadcast; if the counts of a larger corpus
-need more, the least count that still fits is stored (and lower ones read as absent).
+Its size follows the number of entries. Up to MOST_BITS it is broadcast; a larger one stays a table of segments: the hashes of each
+batch of texts are dealt by segment, probed there, and their levels return to the batch. Both ways give the same scores.
 
 A text's score is the sum of log10 p(word | word before), p = (c(before, word) + MU p(word)) / (c(before) + MU), where p(word) =
 (c(word) + DELTA) / (N + DELTA (V + 1)), all c from probes. Beside it stands the exact add-one unigram score, for which the
@@ -30,7 +30,7 @@ from ._store import stage
 SEED, PROBES, SEGMENTS, MOST_BITS, LEAST_BITS = 11, 3, 4096, 1 << 29, 1 << 22
 BITS_AN_ENTRY = 8
 WORD_BASE, PAIR_BASE, MU, DELTA = 1.3, 2.0, 200.0, 0.5
-TOP_WORDS, CACHE, PAIRS_HELD, WORDS_HELD, PIECE = 200_000, 400_000, 1 << 21, 300_000, 1 << 18
+TOP_WORDS, CACHE, PAIRS_HELD, WORDS_HELD, PIECE, BATCH = 200_000, 400_000, 1 << 21, 300_000, 1 << 18, 1 << 20
 END = b"\n"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,15 +95,19 @@ class Filter:
             self.bytes[s * each : (s + 1) * each] = np.frombuffer(b, np.uint8)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out, alive, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        start = (h >> np.uint64(52)) * np.uint64(self.segment_bits)
-        while len(alive):
-            at = start[alive][:, None] + _places(h[alive], level, self.segment_bits)
-            hit = (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
-            alive = alive[hit]
-            out[alive] = level
-            level += 1
-        return out
+        return _probed(self.bytes, (h >> np.uint64(52)) * np.uint64(self.segment_bits), h, self.segment_bits)
+
+
+def _probed(found: np.ndarray, start: np.ndarray, h: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Level of each n-gram, whose segment begins at bit start of found."""
+    out, alive, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
+    while len(alive):
+        at = start[alive][:, None] + _places(h[alive], level, segment_bits)
+        hit = (found[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+        alive = alive[hit]
+        out[alive] = level
+        level += 1
+    return out
 
 
 def _gathered(parts):
@@ -137,19 +141,17 @@ def _gathered(parts):
         yield flush_words()
 
 
-def _segments(bits: int, least: int):
+def _segments(bits: int):
     segment_bits = bits // SEGMENTS
 
     def run(parts):
         place, maps = np.full(SEGMENTS, -1), np.zeros(0, np.uint8)  # a segment's bits, one after another as they appear
         for p in parts:
             h, n, word = p["h"].to_numpy().view(np.uint64), p["n"].to_numpy(), p["word"].to_numpy()
-            keep = n >= least
-            h, n, word = h[keep], n[keep], word[keep]
             new = np.setdiff1d((h >> np.uint64(52)).astype(np.int64), np.nonzero(place >= 0)[0])
             place[new] = np.arange(len(new)) + len(maps) * 8 // segment_bits
             maps = np.concatenate([maps, np.zeros(len(new) * segment_bits // 8, np.uint8)])
-            top = np.where(word, _level(np.maximum(n, 1), WORD_BASE), _level(np.maximum(n, 1), PAIR_BASE))
+            top = np.where(word, _level(n, WORD_BASE), _level(n, PAIR_BASE))
             for level in range(1, int(top.max(initial=0)) + 1):
                 some = h[top >= level]
                 at = (_places(some, level, segment_bits).astype(np.int64) + place[(some >> np.uint64(52)).astype(np.int64)][:, None] * segment_bits).ravel()
@@ -161,6 +163,11 @@ def _segments(bits: int, least: int):
     return run
 
 
+def _log_p(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n_all: int, n_words: int) -> np.ndarray:
+    p_word = (word + DELTA) / (n_all + DELTA * (n_words + 1))
+    return np.log10(np.minimum((np.minimum(pair, before) + MU * p_word) / (before + MU), 1.0))
+
+
 class Model:
     """log10 p of each token of a stream of texts, each ending with the end, so that the first word of a text follows an end."""
 
@@ -175,45 +182,142 @@ class Model:
             own, place = np.unique(piece, return_inverse=True)
             word = _estimate(self.filter.levels(own), WORD_BASE)[place]
             pair = _estimate(self.filter.levels(_pairs(piece)[1:]), PAIR_BASE)
-            p_word = (word[1:] + DELTA) / (self.n_all + DELTA * (self.n_words + 1))
-            out[at : at + PIECE] = np.log10(np.minimum((np.minimum(pair, word[:-1]) + MU * p_word) / (word[:-1] + MU), 1.0))
+            out[at : at + PIECE] = _log_p(pair, word[:-1], word[1:], self.n_all, self.n_words)
             last = piece[-1:]
         return out
 
 
+READ = ["n_tokens", "n_sure", "base_sure", "rest", "rest_n", "row", "doc_id", "held_out"]
+
+
+def _read(parts, top: bytes, counts: np.ndarray, n_all: int, n_words: int, most: int):
+    """(rows of READ, word hashes of each) of whole texts, as many together as hold most words, or one."""
+    hashes = _Hashes()
+    known = dict(zip(top.split(b" "), counts.tolist(), strict=True)) if len(counts) else {}
+    whole = math.log10(n_all + n_words + 1)
+    rows, streams, held = [], [], 0
+    for p in parts:
+        for row, key, out, text in zip(p["row"], p["doc_id"].astype(object), p["held_out"], p["t"], strict=True):
+            tokens = words_of(text)
+            c = np.fromiter((known.get(t, -1) for t in tokens), np.int64, len(tokens))
+            sure = c >= 0
+            rest = Counter(tokens[i] for i in np.nonzero(~sure)[0])
+            base = float(np.log10(c[sure] + 1.0).sum()) - whole * int(sure.sum())
+            rows.append((len(tokens), int(sure.sum()), base, list(rest), list(rest.values()), row, None if pd.isna(key) else int(key), out))
+            streams.append(np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)))
+            held += len(tokens)
+            if held >= most:
+                yield rows, streams
+                rows, streams, held = [], [], 0
+    if rows:
+        yield rows, streams
+
+
+def _sums(log_p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(log_p, np.concatenate([[0], np.cumsum(n)[:-1]]))
+
+
 def _scored(shared):
     def run(parts):
         segments, bits, top, counts, n_all, n_words = shared.value
-        model, hashes = Model(Filter(segments, bits), n_all, n_words), _Hashes()
-        known = dict(zip(top.split(b" "), counts.tolist(), strict=True)) if len(counts) else {}
-        whole = math.log10(n_all + n_words + 1)
-        columns = ["n_tokens", "n_sure", "base_sure", "rest", "rest_n", "row", "doc_id", "held_out"]
+        model = Model(Filter(segments, bits), n_all, n_words)
+        for rows, streams in _read(parts, top, counts, n_all, n_words, PIECE):
+            yield pd.DataFrame(rows, columns=READ).assign(score=_sums(model.log_p(np.concatenate(streams)), [len(x) for x in streams]))
+
+    return run
+
 
-        def scored(rows: list, streams: list) -> pd.DataFrame:
-            stream, ends = np.concatenate(streams), np.cumsum([len(x) for x in streams])
-            sums = np.add.reduceat(model.log_p(stream), np.concatenate([[0], ends[:-1]]))
-            return pd.DataFrame(rows, columns=columns).assign(score=sums)
+def _batches(shared):
+    """Rows of texts, and after those of a batch one row of the batch: its texts' rows and lengths, distinct hashes, their places."""
 
+    def run(parts):
+        for rows, streams in _read(parts, *shared.value, BATCH):
+            yield pd.DataFrame(rows, columns=READ).assign(own=None, n=None, words=None, at=None)
+            own, n = np.array([r[5] for r in rows], np.int64), np.array([len(x) for x in streams], np.int64)
+            words, at = np.unique(np.concatenate(streams), return_inverse=True)
+            batch = [rows[0][5], own.tobytes(), n.tobytes(), words.tobytes(), at.astype(np.uint32).tobytes()]
+            yield pd.DataFrame([batch], columns=["row", "own", "n", "words", "at"]).reindex(columns=[*READ, "own", "n", "words", "at"]).astype(object).where(lambda x: x.notna(), None)
+
+    return run
+
+
+def _grams(words: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's stream of word hashes, that of its pairs' hashes, and the sorted distinct ones of both."""
+    h = np.frombuffer(words, np.uint64)[np.frombuffer(at, np.uint32)]
+    pairs = _pairs(h)
+    end = np.array([xxhash.xxh64_intdigest(END, SEED)], np.uint64)
+    return h, pairs, np.unique(np.concatenate([end, np.frombuffer(words, np.uint64), pairs]))
+
+
+def _dealt(parts):
+    """Distinct hashes of each batch by segment."""
+    for p in parts:
+        for batch, words, at in zip(p["batch"], p["words"], p["at"], strict=True):
+            h = _grams(words, at)[2]
+            segment, first = np.unique((h >> np.uint64(52)).astype(np.int64), return_index=True)
+            yield pd.DataFrame({"segment": segment, "batch": batch, "held": [x.tobytes() for x in np.split(h, first[1:])]})
+
+
+def _levels(bits: int):
+    """Levels of the hashes of batches; each segment's bits come before the hashes (no batch) and hold none if there is no such row."""
+    segment_bits = bits // SEGMENTS
+
+    def run(parts):
+        segment, found = -1, None
         for p in parts:
-            rows, streams, held = [], [], 0
-            for row, key, out, text in zip(p["row"], p["doc_id"].astype(object), p["held_out"], p["t"], strict=True):
-                tokens = words_of(text)
-                c = np.fromiter((known.get(t, -1) for t in tokens), np.int64, len(tokens))
-                sure = c >= 0
-                rest = Counter(tokens[i] for i in np.nonzero(~sure)[0])
-                base = float(np.log10(c[sure] + 1.0).sum()) - whole * int(sure.sum())
-                rows.append((len(tokens), int(sure.sum()), base, list(rest), list(rest.values()), row, None if pd.isna(key) else int(key), out))
-                streams.append(np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)))
-                held += len(tokens)
-                if held >= PIECE:
-                    yield scored(rows, streams)
-                    rows, streams, held = [], [], 0
-            if rows:
-                yield scored(rows, streams)
+            out = []
+            for s, batch, held in zip(p["segment"], p["batch"], p["held"], strict=True):
+                if pd.isna(batch):
+                    segment, found = s, np.frombuffer(held, np.uint8)
+                    continue
+                h = np.frombuffer(held, np.uint64)
+                level = _probed(found, np.zeros(len(h), np.uint64), h, segment_bits) if s == segment else np.zeros(len(h), np.int64)
+                out.append((int(batch), s, level.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["batch", "segment", "levels"])
 
     return run
 
 
+def _joined(n_all: int, n_words: int):
+    """row, score of the texts of batches: each batch's row (segment -1), then its levels in the segments' order."""
+
+    def scores(own: bytes, n: bytes, words: bytes, at: bytes, levels: list) -> pd.DataFrame:
+        h, pairs, grams = _grams(words, at)
+        level = np.frombuffer(b"".join(levels), np.uint8)
+        end = np.array([xxhash.xxh64_intdigest(END, SEED)], np.uint64)
+        word = _estimate(level[np.searchsorted(grams, np.concatenate([end, h]))], WORD_BASE)
+        pair = _estimate(level[np.searchsorted(grams, pairs)], PAIR_BASE)
+        return pd.DataFrame({"row": np.frombuffer(own, np.int64), "score": _sums(_log_p(pair, word[:-1], word[1:], n_all, n_words), np.frombuffer(n, np.int64))})
+
+    def run(parts):
+        batch, levels = None, []
+        for p in parts:
+            for segment, own, n, words, at, level in zip(p["segment"], p["own"], p["n"], p["words"], p["at"], p["levels"], strict=True):
+                if segment >= 0:
+                    levels.append(level)
+                    continue
+                if batch:
+                    yield scores(*batch, levels)
+                batch, levels = (own, n, words, at), []
+        if batch:
+            yield scores(*batch, levels)
+
+    return run
+
+
+def _scored_by_table(rows: DataFrame, built: DataFrame, bits: int, known: tuple, schema: str) -> DataFrame:
+    """The same as of _scored, by a filter that is not broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    read = stage(rows.mapInPandas(_batches(shared), f"{schema}, own binary, n binary, words binary, at binary"), "lm-batches")
+    batches = read.where("words IS NOT NULL").select(F.col("row").alias("batch"), "own", "n", "words", "at")
+    hashes = batches.select("batch", "words", "at").mapInPandas(_dealt, "segment int, batch long, held binary")
+    both = hashes.unionByName(built.select("segment", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("held")))
+    levels = both.repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("batch")).mapInPandas(_levels(bits), "batch long, segment int, levels binary")
+    back = batches.withColumn("segment", F.lit(-1)).unionByName(levels, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "segment")
+    scores = stage(back.select("batch", "segment", "own", "n", "words", "at", "levels").mapInPandas(_joined(*known[2:]), "row long, score double"), "lm-scores")
+    return read.where("words IS NULL").drop("own", "n", "words", "at").join(scores, "row")
+
+
 def lm_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
     spark = docs.sparkSession
@@ -224,16 +328,18 @@ def lm_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     dealt = counts.withColumn("segment", F.shiftrightunsigned("h", 52).cast("int")).repartition("segment")
     grams = stage(dealt.groupBy("segment", "w", "h").agg(F.sum("n").alias("n")), "lm-grams")
     n_all, n_words = grams.where("w IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    by_size = grams.groupBy(F.expr("least(n, 64)").alias("n"), F.expr("w IS NOT NULL").alias("word")).agg(F.sum(F.expr(f"IF(w IS NULL, floor(log2(n)), floor(ln(n) / ln({WORD_BASE}))) + 1")).alias("entries")).collect()
-    least = next((m for m in range(1, 65) if sum(r["entries"] for r in by_size if r["n"] >= m) * BITS_AN_ENTRY <= MOST_BITS), 64)
-    entries = sum(r["entries"] for r in by_size if r["n"] >= least)
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(entries * BITS_AN_ENTRY, 1)))))
-    built = grams.select("segment", "h", "n", F.expr("w IS NOT NULL").alias("word")).repartition("segment").mapInPandas(_segments(bits, least), "segment int, bits binary")
-    segments = {r["segment"]: bytes(r["bits"]) for r in stage(built, "lm-filter").collect()}  # MOST_BITS in all at most
+    levels = f"IF(w IS NULL, floor(log2(n)), floor(ln(n) / ln({WORD_BASE}))) + 1"
+    entries = grams.agg(F.coalesce(F.sum(F.expr(levels)), F.lit(0))).first()[0]
+    bits = max(LEAST_BITS, 1 << math.ceil(math.log2(max(entries * BITS_AN_ENTRY, 1))))
+    built = stage(grams.select("segment", "h", "n", F.expr("w IS NOT NULL").alias("word")).repartition("segment").mapInPandas(_segments(bits), "segment int, bits binary"), "lm-filter")
     top = grams.where("w IS NOT NULL").orderBy(F.desc("n"), "w").limit(TOP_WORDS).select("w", "n").toPandas()
-    shared = spark.sparkContext.broadcast((segments, bits, b" ".join(map(bytes, top["w"])), top["n"].to_numpy(np.int64), int(n_all), int(n_words)))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_sure long, base_sure double, score double, rest array<binary>, rest_n array<long>"
-    scored = stage(rows.mapInPandas(_scored(shared), schema), "lm-scored")
+    known = b" ".join(map(bytes, top["w"])), top["n"].to_numpy(np.int64), int(n_all), int(n_words)
+    schema = "n_tokens long, n_sure long, base_sure double, rest array<binary>, rest_n array<long>, row long, doc_id long, held_out boolean"
+    if bits <= MOST_BITS:
+        shared = spark.sparkContext.broadcast(({r["segment"]: bytes(r["bits"]) for r in built.collect()}, bits, *known))
+        scored = stage(rows.mapInPandas(_scored(shared), f"{schema}, score double"), "lm-scored")
+    else:
+        scored = _scored_by_table(rows, built, bits, known, schema)
     rest = scored.selectExpr("row", "inline(transform(rest, (w, i) -> named_struct('w', w, 'k', rest_n[i])))")
     words = grams.where("w IS NOT NULL").select("w", "n")
     whole = math.log10(n_all + n_words + 1)

@@ -87,6 +87,17 @@ def test_all_tokens_are_counted_whatever_is_held(monkeypatch, most):
     assert found["n"][found["w"].notna()].sum() == found["n"][found["w"].isna()].sum() == 10
 
 
+def test_scores_do_not_depend_on_how_the_filter_is_held(monkeypatch, docs, odd):
+    both = docs.selectExpr("doc_id", "text").unionByName(odd.selectExpr("doc_id", "text"))
+    want = sorted(map(tuple, ngram.lm_report(both).collect()), key=str)
+    monkeypatch.setattr(ngram, "MOST_BITS", 1 << 19)
+    for batch in (1, 5000, 1 << 20):
+        monkeypatch.setattr(ngram, "BATCH", batch)
+        got = sorted(map(tuple, ngram.lm_report(both).collect()), key=str)
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=0)
+
+
 def test_longest_match_equals_greedy():
     match = wordpiece.LongestMatch(["a", "ab", "abc"], ["b", "c", "cd", "bcd", "e"])
     inner, begin = {"b", "c", "cd", "bcd", "e"}, {"a", "ab", "abc"}
