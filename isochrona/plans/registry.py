@@ -96,25 +96,56 @@ def arrivals_with_walks(spark, sf_dir):
 ORIGINS = (0, 1, 2, 3)
 
 
+def _times(found):
+    return found.groupBy(F.col("origin").alias("from_id"), F.col("stop").alias("to_id")).agg(F.min(F.col("arrival") - F.col("departure")).alias("travel_time_s"))
+
+
 @_query("time_matrix", _with("SELECT o AS from_id, stop AS to_id, a - d AS travel_time_s FROM b3", *rounds_sql(_values(ORIGINS), 3)))
 def time_matrix(spark, sf_dir):
-    found = _arrivals(spark, sf_dir, ORIGINS, rounds=3)
-    return found.groupBy(F.col("origin").alias("from_id"), F.col("stop").alias("to_id")).agg(F.min(F.col("arrival") - F.col("departure")).alias("travel_time_s"))
+    return _times(_arrivals(spark, sf_dir, ORIGINS, rounds=3))
 
 
 MINUTES = tuple(DEPARTURE + 60 * i for i in range(5))
 _RANK = "list_sort(list(t))[CASE WHEN floor({p} / 100.0 * 4 + 0.5)::INT < count(t) THEN floor({p} / 100.0 * 4 + 0.5)::INT + 1 END]"
 
 
-@_query("time_matrix_percentiles", _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b2) GROUP BY ALL", *rounds_sql(_values([0, 1], MINUTES), 2)))
-def time_matrix_percentiles(spark, sf_dir):
-    found = _arrivals(spark, sf_dir, (0, 1), MINUTES, rounds=2)
+def _percentiles(found):
     each = found.groupBy("origin", "stop", "departure").agg(F.min(F.col("arrival") - F.col("departure")).alias("t"))
     # A minute that reaches nothing is later than all that do.
     all_minutes = each.groupBy("origin", "stop").agg(F.collect_list("t").alias("l")).withColumn("l", F.expr(f"concat(l, array_repeat(cast(null AS bigint), {len(MINUTES)} - size(l)))"))
     return all_minutes.select(F.col("origin").alias("from_id"), F.col("stop").alias("to_id"), *[scalars.nearest_rank(F.col("l"), p).alias(f"travel_time_p{p}_s") for p in (25, 50, 75)])
 
 
+@_query("time_matrix_percentiles", _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b2) GROUP BY ALL", *rounds_sql(_values([0, 1], MINUTES), 2)))
+def time_matrix_percentiles(spark, sf_dir):
+    return _percentiles(_arrivals(spark, sf_dir, (0, 1), MINUTES, rounds=2))
+
+
+#: Rides of the reference's default of 7 transfers.
+ALL_ROUNDS = 8
+
+
+def _all_values(departures=(DEPARTURE,)) -> str:
+    return "SELECT stop AS o, d, stop, d AS a FROM stops, (VALUES " + ", ".join(f"({d}::BIGINT)" for d in departures) + ") v(d)"
+
+
+def _all_arrivals(spark, sf_dir, departures=(DEPARTURE,)):
+    """From all stops, with the reference's rounds."""
+    seeds = spark.range(fx.n_stops(spark, sf_dir)).withColumn("departure", F.explode(F.array(*[F.lit(d).cast("long") for d in departures])))
+    seeds = seeds.select(F.col("id").alias("origin"), "departure", F.col("id").alias("stop"), F.col("departure").alias("arrival"))
+    return raptor.earliest(*timetable.lines(fx.stop_times(spark, sf_dir)), seeds, ALL_ROUNDS)
+
+
+@_query("time_matrix_all_stops", _with(f"SELECT o AS from_id, stop AS to_id, a - d AS travel_time_s FROM b{ALL_ROUNDS}", *rounds_sql(_all_values(), ALL_ROUNDS)))
+def time_matrix_all_stops(spark, sf_dir):
+    return _times(_all_arrivals(spark, sf_dir))
+
+
+@_query("time_matrix_percentiles_all_stops", _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b{ALL_ROUNDS}) GROUP BY ALL", *rounds_sql(_all_values(MINUTES), ALL_ROUNDS)))
+def time_matrix_percentiles_all_stops(spark, sf_dir):
+    return _percentiles(_all_arrivals(spark, sf_dir, MINUTES))
+
+
 @_query("pareto_rides", _with("SELECT rides, stop, arrival FROM (" + " UNION ALL ".join(f"SELECT {k} AS rides, stop, a AS arrival FROM x{k}" for k in range(1, ROUNDS + 1)) + ")", *rounds_sql(_values([2]))))
 def pareto_rides(spark, sf_dir):
     return pareto.skyline(_arrivals(spark, sf_dir, (2,)), ["origin", "departure", "stop"], "rides", "arrival").where("rides > 0").select("rides", "stop", "arrival")

@@ -1,5 +1,7 @@
 """Small cases with literal rows."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from isochrona.functions import scalars
@@ -40,3 +42,44 @@ def test_clock_beyond_midnight(spark):
 def test_mask_leaves_null_axes_out(spark):
     df = spark.createDataFrame([(0, 500, 100.0), (0, 700, 55.0), (0, 900, 10.0), (0, 900, 60.0), (0, 100, None)], "g int, t long, e double")
     assert sorted(r.t for r in pareto.mask(df, ["g"], "t", "e").where("frontier").collect()) == [500, 700, 900]
+
+
+def test_full_matrices_equal_brute_force(spark):
+    from isochrona.plans import registry
+    from isochrona.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.01"
+    m, trips = fx.n_stops(spark, sf), {}
+    for r in fx.stop_times(spark, sf).orderBy("trip", "pos").collect():
+        trips.setdefault(r.trip, []).append((r.stop, r.arr, r.dep))
+    trips = [t for t in trips.values() if t[-1][1] >= registry.DEPARTURE]
+
+    def rides(origin, departure):
+        best, k = {origin: departure}, 0
+        while k < 8:
+            new, k = dict(best), k + 1
+            for calls in trips:
+                aboard = False
+                for stop, arr, dep in calls:
+                    if aboard and arr < new.get(stop, math.inf):
+                        new[stop] = arr
+                    aboard = aboard or best.get(stop, math.inf) <= dep
+            if new == best:
+                break
+            best = new
+        return best
+
+    got = {}
+    for r in registry.QUERIES["time_matrix_all_stops"](spark, sf).collect():
+        got.setdefault(r.from_id, {})[r.to_id] = r.travel_time_s
+    assert sorted(got) == list(range(m))
+    for origin in (0, 4, 57, m - 1):
+        assert got[origin] == {s: a - registry.DEPARTURE for s, a in rides(origin, registry.DEPARTURE).items()}
+    ranks = registry.QUERIES["time_matrix_percentiles_all_stops"](spark, sf).collect()
+    assert {r.from_id for r in ranks} == set(range(m))
+    by_minute = [{s: a - d for s, a in rides(57, d).items()} for d in registry.MINUTES]
+    for r in ranks:
+        if r.from_id == 57:
+            t = sorted(b.get(r.to_id, math.inf) for b in by_minute)
+            want = [None if x == math.inf else x for x in t[1:4]]
+            assert [r.travel_time_p25_s, r.travel_time_p50_s, r.travel_time_p75_s] == want
