@@ -60,26 +60,26 @@ def fingerprints(docs: DataFrame, text: str = "text", keys: dict[str, str] | Non
     return rows.mapInPandas(_fingerprints, ", ".join(f"{k} long" for k in [*keys, "_s_fp"]))
 
 
-def block_count(n: int) -> int:
+def block_count(n: int, radius: int = RADIUS) -> int:
     """Blocks so that a key has about as many bits as n fingerprints need to stay apart: 6 up to 2 million, then more."""
-    for b in range(RADIUS + 2, 13):
-        if 64 * (b - RADIUS) / b >= np.log2(max(n, 2)):
+    for b in range(radius + 2, 13):
+        if 64 * (b - radius) / b >= np.log2(max(n, 2)):
             return b
-    return 13
+    return max(13, radius + 1)
 
 
-def _keys(blocks: int) -> str:
+def _keys(blocks: int, radius: int = RADIUS) -> str:
     """SQL for the array of key structs of column fp."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(blocks)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return "array(" + ", ".join(f"named_struct('k', {c}, 'bits', fp & {signed(sum(masks[i] for i in chosen))}L)" for c, chosen in enumerate(combinations(range(blocks), blocks - RADIUS))) + ")"
+    return "array(" + ", ".join(f"named_struct('k', {c}, 'bits', fp & {signed(sum(masks[i] for i in chosen))}L)" for c, chosen in enumerate(combinations(range(blocks), blocks - radius))) + ")"
 
 
 def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for distinct fingerprints (fp, n): connected components of all pairs within the radius."""
     points = stage(points, "simhash-points")
-    keys = _keys(blocks or block_count(points.count())).replace("-9223372036854775808L", "shiftleft(1L, 63)")
+    keys = _keys(blocks or block_count(points.count(), radius), radius).replace("-9223372036854775808L", "shiftleft(1L, 63)")
     members = stage(points.selectExpr("fp", "n", f"inline({keys})"), "simhash-keys")
     centre = members.groupBy("k", "bits").agg(F.max(F.struct("n", "fp"))["fp"].alias("mid"), F.count(F.lit(1)).alias("c")).where("c > 1")
     centre = stage(centre.drop("c"), "simhash-centres")

@@ -155,6 +155,12 @@ def test_simhash_groups_equal_brute_force(docs):
     assert {g.doc_id: g.fingerprint for g in got} == {r.doc_id: f"{p:016x}" for r, p in zip(rows, prints, strict=True)}
 
 
+def test_links_reach_the_radius_given(spark):
+    far = sum(1 << i for i in range(3, 64, 11))  # 6 bits, one in each sixth
+    points = spark.createDataFrame([(0, 1), (far, 1), (0x0F0F0F0F0F0F0F0F, 1)], "fp long, n long")
+    assert sorted(map(tuple, simhash.linked(points, radius=6).collect())) == [(0, 0), (far, 0), (0x0F0F0F0F0F0F0F0F, 0x0F0F0F0F0F0F0F0F)]
+
+
 def test_chat_reads_back_whole(spark):
     turns = [(9, 0, "system", "be [INST] <|x|>"), (9, 1, "user", None), *[(9, 2 + i, ("user", "assistant")[i % 2], f"w{i} " * (60 * (i % 5))) for i in range(12)], (None, 0, None, "\\[ </s>")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
