@@ -2,13 +2,18 @@
 
 Counts of words and word pairs of the training texts are quantised on a logarithmic scale; a filter holds each n-gram once for
 every level up to its own, so that probing level 1, 2, ... until one is absent gives the level back, and false positives can only
-raise it. The filter is cut into segments; all bits of an n-gram lie in one, so segments are built independently of each other.
-Its size follows the number of entries. Up to MOST_BITS it is broadcast; a larger one stays a table of segments: the hashes of each
-batch of texts are dealt by segment, probed there, and their levels return to the batch. Both ways give the same scores.
+raise it, to the greatest stored level at most. The filter is cut into segments by the n-gram's hash; all bits of an n-gram lie in
+one, so a segment is built by the task in which the partial counts of its n-grams meet, and is as long as its own entries need.
+The number of segments follows the size of the texts. Every n-gram is kept at every size. A filter of up to MOST_BITS is broadcast;
+a larger one stays a table of segments: the hashes of each batch of texts are dealt by segment, probed there, and their levels
+return to the batch. Both ways give the same scores.
+
+What is shuffled of an n-gram is a 48-bit hash, as the difference to the one before it in its segment, and a count, each in the
+least whole bytes; so equal hashes of different pairs (about n / 2^48 of n pairs) count as one pair. Words are counted exactly.
 
 A text's score is the sum of log10 p(word | word before), p = (c(before, word) + MU p(word)) / (c(before) + MU), where p(word) =
 (c(word) + DELTA) / (N + DELTA (V + 1)), all c from probes. Beside it stands the exact add-one unigram score, for which the
-TOP_WORDS commonest words are looked up in a broadcast table and all others joined.
+commonest words, TOP_WORDS at most, are looked up in a broadcast table and all others joined.
 
 Defined results: a null or empty text is one end token; a null key is training; repeated rows count as often as they occur; an
 empty table gives an empty result; other columns are ignored.
@@ -17,7 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -27,20 +32,35 @@ from pyspark.sql import functions as F
 
 from ._store import stage
 
-SEED, PROBES, SEGMENTS, MOST_BITS, LEAST_BITS = 11, 3, 4096, 1 << 29, 1 << 22
-BITS_AN_ENTRY = 8
+SEED, PROBES, MOST_BITS, BITS_AN_ENTRY = 11, 3, 96 << 23, 8
+#: Bits of an n-gram's hash, and bytes of text a segment.
+HASH_BITS, SEGMENT_BYTES = 48, 1 << 22
 WORD_BASE, PAIR_BASE, MU, DELTA = 1.3, 2.0, 200.0, 0.5
-TOP_WORDS, CACHE, PAIRS_HELD, WORDS_HELD, PIECE, BATCH = 200_000, 400_000, 1 << 21, 300_000, 1 << 18, 1 << 20
+TOP_WORDS, TOP_LENGTH, PAIRS_HELD, WORDS_HELD, BATCH = 200_000, 64, 1 << 22, 300_000, 1 << 21
 END = b"\n"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
+class Vocabulary(defaultdict):
+    """Words numbered as they appear."""
+
+    def __init__(self):
+        super().__init__()
+        self.default_factory = self.__len__
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def hashes(self) -> np.ndarray:
+        return _word_hashes(self)
+
+
+def _word_hashes(words) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+
+
+_END_HASH = _word_hashes([END])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,12 +70,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
+def _words(h: np.ndarray) -> np.ndarray:
+    """The n-gram hash of single words."""
+    return _mix(h ^ _C) >> np.uint64(64 - HASH_BITS)
+
+
 def _pairs(h: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it; the end comes before the first."""
-    before = np.empty_like(h)
-    before[0], before[1:] = np.uint64(xxhash.xxh64_intdigest(END, SEED)), h[:-1]
+    """The n-gram hash of each word with the one before it; the end comes before the first."""
+    before = np.concatenate([_END_HASH, h[:-1]])
     with np.errstate(over="ignore"):
-        return _mix(before * _C + h)
+        return _mix(before * _C + h) >> np.uint64(64 - HASH_BITS)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,191 +100,264 @@ def _estimate(level: np.ndarray, base: float) -> np.ndarray:
     return np.where(level == 0, 0.0, (lo + hi) / 2)
 
 
-def _places(h: np.ndarray, level, segment_bits: int) -> np.ndarray:
-    """(len(h), PROBES) bit places within the n-gram's segment at a level."""
-    with np.errstate(over="ignore"):
-        g = _mix(h + np.asarray(level, np.uint64) * _C)
-    a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(segment_bits)
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the least bytes that hold them all, after a byte that says how many."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-class Filter:
-    """Read side: levels(h) by repeated membership probes."""
+def _unpacked(b: bytes) -> np.ndarray:
+    own = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, : b[0]] = own
+    return out.view("<u8")[:, 0]
 
-    def __init__(self, segments: dict[int, bytes], bits: int):
-        self.segment_bits = bits // SEGMENTS
-        self.bytes = np.zeros(bits // 8, np.uint8)
-        each = self.segment_bits // 8
-        for s, b in segments.items():
-            self.bytes[s * each : (s + 1) * each] = np.frombuffer(b, np.uint8)
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        return _probed(self.bytes, (h >> np.uint64(52)) * np.uint64(self.segment_bits), h, self.segment_bits)
+class Segments:
+    """2^bits segments of the n-gram hashes, each a run of them."""
 
+    def __init__(self, bits: int):
+        self.bits, self.shift = bits, np.uint64(HASH_BITS - bits)
 
-def _probed(found: np.ndarray, start: np.ndarray, h: np.ndarray, segment_bits: int) -> np.ndarray:
-    """Level of each n-gram, whose segment begins at bit start of found."""
-    out, alive, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-    while len(alive):
-        at = start[alive][:, None] + _places(h[alive], level, segment_bits)
-        hit = (found[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+    def of(self, g: np.ndarray) -> np.ndarray:
+        return (g >> self.shift).astype(np.int64)
+
+    def cut(self, g: np.ndarray):
+        """(segment, slice) of each segment of sorted hashes."""
+        segment = self.of(g)
+        ends = np.concatenate([[0], np.nonzero(np.diff(segment))[0] + 1, [len(g)]]) if len(g) else [0]
+        return [(int(segment[a]), slice(int(a), int(b))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def pack(self, segment: int, g: np.ndarray) -> bytes:
+        return _packed(np.diff(g, prepend=np.uint64(segment) << self.shift))
+
+    def unpack(self, segment: int, b: bytes) -> np.ndarray:
+        return np.cumsum(_unpacked(b), dtype=np.uint64) + (np.uint64(segment) << self.shift)
+
+
+def _probes(g: np.ndarray, level: int, size: np.ndarray):
+    """The PROBES bit places of each n-gram at a level, below its segment's size."""
+    with np.errstate(over="ignore"):
+        x = _mix(g + np.uint64(level) * _C)
+        a, b = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1)
+        for i in range(PROBES):
+            yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
+
+
+def _levels(found: np.ndarray, start: np.ndarray, size: np.ndarray, g: np.ndarray, top: int) -> np.ndarray:
+    """Level of each n-gram by repeated probes; its segment is `size` bits from bit `start` of found on."""
+    out, alive = np.zeros(len(g), np.uint8), np.nonzero(size)[0]
+    for level in range(1, top + 1):
+        if not len(alive):
+            break
+        s, hit = start[alive], np.ones(len(alive), bool)
+        for at in _probes(g[alive], level, size[alive]):
+            at += s
+            hit &= (found[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         alive = alive[hit]
         out[alive] = level
-        level += 1
     return out
 
 
+class Filter:
+    """Read side of whole filters: levels(g)."""
+
+    def __init__(self, bits: int, top: int, sizes: np.ndarray, found: bytes):
+        self.segments, self.top, self.sizes, self.found = Segments(bits), top, sizes.astype(np.uint64), np.frombuffer(found, np.uint8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def levels(self, g: np.ndarray) -> np.ndarray:
+        s = self.segments.of(g)
+        return _levels(self.found, self.starts[s], self.sizes[s], g, self.top)
+
+
 def _gathered(parts):
-    """Partial counts: (w, h, n) of words, (null, h, n) of pairs; what is held is bounded."""
-    hashes = _Hashes()
-    pairs, held, words = [], 0, Counter()
+    """Partial counts: (w, null, n) of words, (null, h, n) of pairs in the order of h; what is held is bounded."""
+    pairs, held, words, n_words = [], 0, Vocabulary(), []
 
     def flush_pairs():
         h, n = np.unique(np.concatenate(pairs), return_counts=True)
         return pd.DataFrame({"w": None, "h": h.view(np.int64), "n": n.astype(np.int64)})
 
     def flush_words():
-        return pd.DataFrame({"w": list(words), "h": np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)).view(np.int64), "n": np.fromiter(words.values(), np.int64, len(words))})
+        n = np.bincount(np.concatenate(n_words), minlength=len(words))
+        return pd.DataFrame({"w": list(words), "h": 0, "n": n.astype(np.int64)})
 
     for p in parts:
         for text in p["t"]:
             tokens = words_of(text)
-            words.update(tokens)
-            h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-            pairs.append(_pairs(h))
-            held += len(h)
-            if held >= PAIRS_HELD:
+            at = words.numbers(tokens)
+            n_words.append(at)
+            pairs.append(at)
+            held += len(at)
+            if held >= PAIRS_HELD or len(words) >= WORDS_HELD:
+                h = words.hashes()
+                pairs = [_pairs(h[x]) for x in pairs]
                 yield flush_pairs()
-                pairs, held = [], 0
-            if len(words) >= WORDS_HELD:
                 yield flush_words()
-                words = Counter()
+                pairs, held, words, n_words = [], 0, Vocabulary(), []
     if held:
+        h = words.hashes()
+        pairs = [_pairs(h[x]) for x in pairs]
         yield flush_pairs()
-    if words:
         yield flush_words()
 
 
-def _segments(bits: int):
-    segment_bits = bits // SEGMENTS
+def _dealt_counts(bits: int):
+    """The partial counts by segment, packed."""
+    segments = Segments(bits)
 
     def run(parts):
-        place, maps = np.full(SEGMENTS, -1), np.zeros(0, np.uint8)  # a segment's bits, one after another as they appear
-        for p in parts:
-            h, n, word = p["h"].to_numpy().view(np.uint64), p["n"].to_numpy(), p["word"].to_numpy()
-            new = np.setdiff1d((h >> np.uint64(52)).astype(np.int64), np.nonzero(place >= 0)[0])
-            place[new] = np.arange(len(new)) + len(maps) * 8 // segment_bits
-            maps = np.concatenate([maps, np.zeros(len(new) * segment_bits // 8, np.uint8)])
-            top = np.where(word, _level(n, WORD_BASE), _level(n, PAIR_BASE))
-            for level in range(1, int(top.max(initial=0)) + 1):
-                some = h[top >= level]
-                at = (_places(some, level, segment_bits).astype(np.int64) + place[(some >> np.uint64(52)).astype(np.int64)][:, None] * segment_bits).ravel()
-                np.bitwise_or.at(maps, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        segments = np.nonzero(place >= 0)[0]
-        each = segment_bits // 8
-        yield pd.DataFrame({"segment": segments, "bits": [maps[place[x] * each : (place[x] + 1) * each].tobytes() for x in segments]})
+        for found in _gathered(parts):
+            h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+            if (words := found["w"]).notna().any():
+                own = _words(_word_hashes(words))
+                order = np.argsort(own)
+                own, n, words = own[order], n[order], words.to_numpy()[order]
+                rows = [(s, None, _packed(n[x]), b" ".join(words[x])) for s, x in segments.cut(own)]
+            else:
+                rows = [(s, segments.pack(s, h[x]), _packed(n[x]), None) for s, x in segments.cut(h)]
+            yield pd.DataFrame(rows, columns=["segment", "pairs", "n", "words"])
+
+    return run
+
+
+BUILT = "segment int, found binary, size long, top int, tokens long, n_words long, words binary, word_n binary"
+
+
+def _built(bits: int):
+    """A segment from its partial counts: its bits, and the exact counts of its words."""
+    segments = Segments(bits)
+
+    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+        segment, words = int(key[0]), Counter()
+        g, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for pairs, m, some in zip(p["pairs"], p["n"], p["words"], strict=True):
+            if some is None:
+                g.append(segments.unpack(segment, pairs))
+                n.append(_unpacked(m))
+            else:
+                for w, x in zip(some.split(b" "), _unpacked(m).tolist(), strict=True):
+                    words[w] += x
+        g, at = np.unique(np.concatenate(g), return_inverse=True)
+        pair_level = _level(np.bincount(at, np.concatenate(n).astype(np.float64), len(g)), PAIR_BASE)
+        word_n = np.fromiter(words.values(), np.int64, len(words))
+        g = np.concatenate([g, _words(_word_hashes(words))])
+        level = np.concatenate([pair_level, _level(word_n, WORD_BASE)])
+        size = max(64, int(level.sum()) * BITS_AN_ENTRY + 63 & ~63)
+        marks = np.zeros(size, bool)
+        for x in range(1, int(level.max(initial=0)) + 1):
+            for at in _probes(g[level >= x], x, np.uint64(size)):
+                marks[at.view(np.int64)] = True
+        found = np.packbits(marks, bitorder="little").tobytes()
+        return pd.DataFrame([(segment, found, size, int(level.max(initial=0)), int(word_n.sum()), len(words), b" ".join(words), _packed(word_n))], columns=[c.split()[0] for c in BUILT.split(", ")])
 
     return run
 
 
+def _word_rows(parts):
+    for p in parts:
+        for words, n in zip(p["words"], p["word_n"], strict=True):
+            yield pd.DataFrame({"w": words.split(b" "), "n": _unpacked(n).astype(np.int64)})
+
+
 def _log_p(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n_all: int, n_words: int) -> np.ndarray:
     p_word = (word + DELTA) / (n_all + DELTA * (n_words + 1))
     return np.log10(np.minimum((np.minimum(pair, before) + MU * p_word) / (before + MU), 1.0))
 
 
-class Model:
-    """log10 p of each token of a stream of texts, each ending with the end, so that the first word of a text follows an end."""
-
-    def __init__(self, found: Filter, n_all: int, n_words: int):
-        self.filter, self.n_all, self.n_words = found, n_all, n_words
-        self.end = np.array([xxhash.xxh64_intdigest(END, SEED)], np.uint64)
+def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, np.cumsum(n) - n)
 
-    def log_p(self, h: np.ndarray) -> np.ndarray:
-        out, last = np.empty(len(h)), self.end
-        for at in range(0, len(h), PIECE):
-            piece = np.concatenate([last, h[at : at + PIECE]])
-            own, place = np.unique(piece, return_inverse=True)
-            word = _estimate(self.filter.levels(own), WORD_BASE)[place]
-            pair = _estimate(self.filter.levels(_pairs(piece)[1:]), PAIR_BASE)
-            out[at : at + PIECE] = _log_p(pair, word[:-1], word[1:], self.n_all, self.n_words)
-            last = piece[-1:]
-        return out
 
+READ = "row long, doc_id string, held_out boolean, n_tokens long, n_sure long, base_sure double, rest array<binary>, rest_n array<long>"
 
-READ = ["n_tokens", "n_sure", "base_sure", "rest", "rest_n", "row", "doc_id", "held_out"]
 
-
-def _read(parts, top: bytes, counts: np.ndarray, n_all: int, n_words: int, most: int):
-    """(rows of READ, word hashes of each) of whole texts, as many together as hold most words, or one."""
-    hashes = _Hashes()
+def _read(parts, top: bytes, counts: np.ndarray, n_all: int, n_words: int):
+    """(rows of READ, tokens a text, word hashes, the stream of tokens as places in these) of whole texts, as many together as hold
+    BATCH tokens, or one."""
     known = dict(zip(top.split(b" "), counts.tolist(), strict=True)) if len(counts) else {}
     whole = math.log10(n_all + n_words + 1)
-    rows, streams, held = [], [], 0
-    for p in parts:
-        for row, key, out, text in zip(p["row"], p["doc_id"].astype(object), p["held_out"], p["t"], strict=True):
-            tokens = words_of(text)
-            c = np.fromiter((known.get(t, -1) for t in tokens), np.int64, len(tokens))
-            sure = c >= 0
-            rest = Counter(tokens[i] for i in np.nonzero(~sure)[0])
-            base = float(np.log10(c[sure] + 1.0).sum()) - whole * int(sure.sum())
-            rows.append((len(tokens), int(sure.sum()), base, list(rest), list(rest.values()), row, None if pd.isna(key) else int(key), out))
-            streams.append(np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)))
-            held += len(tokens)
-            if held >= most:
-                yield rows, streams
-                rows, streams, held = [], [], 0
-    if rows:
-        yield rows, streams
-
 
-def _sums(log_p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(log_p, np.concatenate([[0], np.cumsum(n)[:-1]]))
+    def batch(heads, streams, words: Vocabulary):
+        names = list(words)
+        c = np.fromiter((known.get(w, -1) for w in names), np.int64, len(names))
+        at, n = np.concatenate(streams), np.array([len(x) for x in streams], np.int64)
+        sure = c >= 0
+        token = sure[at]
+        n_sure, base = _sums(token.astype(np.int64), n), _sums(np.where(sure, np.log10(np.maximum(c, 0) + 1.0) - whole, 0.0)[at], n)
+        rest = []
+        for x in streams:
+            own, k = np.unique(x[~sure[x]], return_counts=True)
+            rest.append(([names[i] for i in own], k))
+        rows = pd.DataFrame({"row": [h[0] for h in heads], "doc_id": [h[1] for h in heads], "held_out": [h[2] for h in heads], "n_tokens": n, "n_sure": n_sure, "base_sure": base, "rest": [r[0] for r in rest], "rest_n": [r[1] for r in rest]})
+        return rows, n, words.hashes(), at
+
+    heads, streams, words, held = [], [], Vocabulary(), 0
+    for p in parts:
+        for row, key, out, text in zip(p["row"], p["doc_id"], p["held_out"], p["t"], strict=True):
+            heads.append((row, key, out))
+            streams.append(words.numbers(words_of(text)))
+            held += len(streams[-1])
+            if held >= BATCH or len(words) >= WORDS_HELD:
+                yield batch(heads, streams, words)
+                heads, streams, words, held = [], [], Vocabulary(), 0
+    if heads:
+        yield batch(heads, streams, words)
 
 
 def _scored(shared):
     def run(parts):
-        segments, bits, top, counts, n_all, n_words = shared.value
-        model = Model(Filter(segments, bits), n_all, n_words)
-        for rows, streams in _read(parts, top, counts, n_all, n_words, PIECE):
-            yield pd.DataFrame(rows, columns=READ).assign(score=_sums(model.log_p(np.concatenate(streams)), [len(x) for x in streams]))
+        size, known = shared.value
+        found, (n_all, n_words) = Filter(*size), known[2:]
+        for rows, n, h, at in _read(parts, *known):
+            # The end stands before the first word of a batch, as each text's end before the next one's.
+            word = _estimate(found.levels(_words(h)), WORD_BASE)
+            end = _estimate(found.levels(_words(_END_HASH)), WORD_BASE)
+            pair = _estimate(found.levels(_pairs(h[at])), PAIR_BASE)
+            before = np.concatenate([end, word[at[:-1]]])
+            yield rows.assign(score=_sums(_log_p(pair, before, word[at], n_all, n_words), n))
 
     return run
 
 
 def _batches(shared):
-    """Rows of texts, and after those of a batch one row of the batch: its texts' rows and lengths, distinct hashes, their places."""
+    """Rows of texts, and after those of a batch one row of the batch: its texts' rows and lengths, word hashes, their places."""
+    batch_columns = ["own", "n", "words", "at"]
 
     def run(parts):
-        for rows, streams in _read(parts, *shared.value, BATCH):
-            yield pd.DataFrame(rows, columns=READ).assign(own=None, n=None, words=None, at=None)
-            own, n = np.array([r[5] for r in rows], np.int64), np.array([len(x) for x in streams], np.int64)
-            words, at = np.unique(np.concatenate(streams), return_inverse=True)
-            batch = [rows[0][5], own.tobytes(), n.tobytes(), words.tobytes(), at.astype(np.uint32).tobytes()]
-            yield pd.DataFrame([batch], columns=["row", "own", "n", "words", "at"]).reindex(columns=[*READ, "own", "n", "words", "at"]).astype(object).where(lambda x: x.notna(), None)
+        for rows, n, h, at in _read(parts, *shared.value):
+            yield rows.assign(**dict.fromkeys(batch_columns))
+            batch = [rows["row"].to_numpy(np.int64).tobytes(), n.tobytes(), h.tobytes(), _packed(at)]
+            yield pd.DataFrame([[rows["row"].iloc[0], *batch]], columns=["row", *batch_columns]).reindex(columns=[*rows.columns, *batch_columns]).astype(object).where(lambda x: x.notna(), None)
 
     return run
 
 
-def _grams(words: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's stream of word hashes, that of its pairs' hashes, and the sorted distinct ones of both."""
-    h = np.frombuffer(words, np.uint64)[np.frombuffer(at, np.uint32)]
-    pairs = _pairs(h)
-    end = np.array([xxhash.xxh64_intdigest(END, SEED)], np.uint64)
-    return h, pairs, np.unique(np.concatenate([end, np.frombuffer(words, np.uint64), pairs]))
+def _grams(words: bytes, at: bytes):
+    """A batch's word hashes, their places in the stream, the stream's pairs, and the sorted distinct n-grams of both."""
+    h, at = np.frombuffer(words, np.uint64), _unpacked(at).view(np.int64)
+    pairs = _pairs(h[at])
+    return h, at, pairs, np.unique(np.concatenate([_words(_END_HASH), _words(h), pairs]))
 
 
-def _dealt(parts):
-    """Distinct hashes of each batch by segment."""
-    for p in parts:
-        for batch, words, at in zip(p["batch"], p["words"], p["at"], strict=True):
-            h = _grams(words, at)[2]
-            segment, first = np.unique((h >> np.uint64(52)).astype(np.int64), return_index=True)
-            yield pd.DataFrame({"segment": segment, "batch": batch, "held": [x.tobytes() for x in np.split(h, first[1:])]})
+def _dealt(bits: int):
+    """Distinct n-grams of each batch by segment."""
+    segments = Segments(bits)
 
+    def run(parts):
+        for p in parts:
+            for batch, words, at in zip(p["batch"], p["words"], p["at"], strict=True):
+                g = _grams(words, at)[3]
+                yield pd.DataFrame([(s, batch, segments.pack(s, g[x])) for s, x in segments.cut(g)], columns=["segment", "batch", "held"])
 
-def _levels(bits: int):
-    """Levels of the hashes of batches; each segment's bits come before the hashes (no batch) and hold none if there is no such row."""
-    segment_bits = bits // SEGMENTS
+    return run
+
+
+def _probed(bits: int, top: int):
+    """Levels of the n-grams of batches; each segment's bits come before them (no batch), none if it has no such row."""
+    segments = Segments(bits)
 
     def run(parts):
         segment, found = -1, None
@@ -270,9 +367,9 @@ def _levels(bits: int):
                 if pd.isna(batch):
                     segment, found = s, np.frombuffer(held, np.uint8)
                     continue
-                h = np.frombuffer(held, np.uint64)
-                level = _probed(found, np.zeros(len(h), np.uint64), h, segment_bits) if s == segment else np.zeros(len(h), np.int64)
-                out.append((int(batch), s, level.astype(np.uint8).tobytes()))
+                g = segments.unpack(s, held)
+                size = np.full(len(g), len(found) * 8 if s == segment else 0, np.uint64)
+                out.append((int(batch), s, _levels(found, np.zeros(len(g), np.uint64), size, g, top).tobytes()))
             yield pd.DataFrame(out, columns=["batch", "segment", "levels"])
 
     return run
@@ -282,12 +379,13 @@ def _joined(n_all: int, n_words: int):
     """row, score of the texts of batches: each batch's row (segment -1), then its levels in the segments' order."""
 
     def scores(own: bytes, n: bytes, words: bytes, at: bytes, levels: list) -> pd.DataFrame:
-        h, pairs, grams = _grams(words, at)
+        h, at, pairs, grams = _grams(words, at)
         level = np.frombuffer(b"".join(levels), np.uint8)
-        end = np.array([xxhash.xxh64_intdigest(END, SEED)], np.uint64)
-        word = _estimate(level[np.searchsorted(grams, np.concatenate([end, h]))], WORD_BASE)
+        word = _estimate(level[np.searchsorted(grams, _words(h))], WORD_BASE)
+        end = _estimate(level[np.searchsorted(grams, _words(_END_HASH))], WORD_BASE)
         pair = _estimate(level[np.searchsorted(grams, pairs)], PAIR_BASE)
-        return pd.DataFrame({"row": np.frombuffer(own, np.int64), "score": _sums(_log_p(pair, word[:-1], word[1:], n_all, n_words), np.frombuffer(n, np.int64))})
+        before = np.concatenate([end, word[at[:-1]]])
+        return pd.DataFrame({"row": np.frombuffer(own, np.int64), "score": _sums(_log_p(pair, before, word[at], n_all, n_words), np.frombuffer(n, np.int64))})
 
     def run(parts):
         batch, levels = None, []
@@ -305,44 +403,59 @@ def _joined(n_all: int, n_words: int):
     return run
 
 
-def _scored_by_table(rows: DataFrame, built: DataFrame, bits: int, known: tuple, schema: str) -> DataFrame:
+def _scored_by_table(rows: DataFrame, built: DataFrame, bits: int, top: int, known: tuple) -> DataFrame:
     """The same as of _scored, by a filter that is not broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
-    read = stage(rows.mapInPandas(_batches(shared), f"{schema}, own binary, n binary, words binary, at binary"), "lm-batches")
+    read = stage(rows.mapInPandas(_batches(shared), f"{READ}, own binary, n binary, words binary, at binary"), "lm-batches")
     batches = read.where("words IS NOT NULL").select(F.col("row").alias("batch"), "own", "n", "words", "at")
-    hashes = batches.select("batch", "words", "at").mapInPandas(_dealt, "segment int, batch long, held binary")
-    both = hashes.unionByName(built.select("segment", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("held")))
-    levels = both.repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("batch")).mapInPandas(_levels(bits), "batch long, segment int, levels binary")
+    hashes = batches.select("batch", "words", "at").mapInPandas(_dealt(bits), "segment int, batch long, held binary")
+    both = hashes.unionByName(built.select("segment", F.lit(None).cast("long").alias("batch"), F.col("found").alias("held")))
+    levels = both.repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("batch")).mapInPandas(_probed(bits, top), "batch long, segment int, levels binary")
     back = batches.withColumn("segment", F.lit(-1)).unionByName(levels, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "segment")
     scores = stage(back.select("batch", "segment", "own", "n", "words", "at", "levels").mapInPandas(_joined(*known[2:]), "row long, score double"), "lm-scores")
     return read.where("words IS NULL").drop("own", "n", "words", "at").join(scores, "row")
 
 
+def _commonest(words: DataFrame) -> pd.DataFrame:
+    """(w, n) of the words that occur at least as often as leaves TOP_WORDS of them at most."""
+    level = F.floor(F.log(F.col("n")) * 20)
+    short = words.where(F.octet_length("w") <= TOP_LENGTH)
+    steps = sorted(short.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)  # a row for each level of a long: under 900
+    held, least = 0, None
+    for s in steps:
+        held += s["k"]
+        if held > TOP_WORDS:
+            break
+        least = s["l"]
+    return short.where(level >= least).toPandas() if least is not None else pd.DataFrame({"w": [], "n": []})
+
+
 def lm_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    spark = docs.sparkSession
-    held = F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % 7 == 2, F.lit(False))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").alias("t"))
-    counts = rows.where("NOT held_out").select("t").mapInPandas(_gathered, "w binary, h long, n long")
-    # Partial counts are dealt by segment; the counts of a segment then meet without another shuffle.
-    dealt = counts.withColumn("segment", F.shiftrightunsigned("h", 52).cast("int")).repartition("segment")
-    grams = stage(dealt.groupBy("segment", "w", "h").agg(F.sum("n").alias("n")), "lm-grams")
-    n_all, n_words = grams.where("w IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    levels = f"IF(w IS NULL, floor(log2(n)), floor(ln(n) / ln({WORD_BASE}))) + 1"
-    entries = grams.agg(F.coalesce(F.sum(F.expr(levels)), F.lit(0))).first()[0]
-    bits = max(LEAST_BITS, 1 << math.ceil(math.log2(max(entries * BITS_AN_ENTRY, 1))))
-    built = stage(grams.select("segment", "h", "n", F.expr("w IS NOT NULL").alias("word")).repartition("segment").mapInPandas(_segments(bits), "segment int, bits binary"), "lm-filter")
-    top = grams.where("w IS NOT NULL").orderBy(F.desc("n"), "w").limit(TOP_WORDS).select("w", "n").toPandas()
-    known = b" ".join(map(bytes, top["w"])), top["n"].to_numpy(np.int64), int(n_all), int(n_words)
-    schema = "n_tokens long, n_sure long, base_sure double, rest array<binary>, rest_n array<long>, row long, doc_id long, held_out boolean"
-    if bits <= MOST_BITS:
-        shared = spark.sparkContext.broadcast(({r["segment"]: bytes(r["bits"]) for r in built.collect()}, bits, *known))
-        scored = stage(rows.mapInPandas(_scored(shared), f"{schema}, score double"), "lm-scored")
+    spark, kind = docs.sparkSession, docs.select(F.col(f"`{key}`")).schema[0].dataType
+    own = F.col(f"`{key}`").cast("string")
+    held = F.coalesce(F.crc32(own) % 7 == 2, F.lit(False))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").alias("t"))
+    train = rows.where("NOT held_out").select("t")
+    size = train.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    bits = min(24, max(4, math.ceil(math.log2(size / SEGMENT_BYTES + 1))))
+    counts = train.mapInPandas(_dealt_counts(bits), "segment int, pairs binary, n binary, words binary")
+    built = stage(counts.groupBy("segment").applyInPandas(_built(bits), BUILT), "lm-filter")
+    n_all, n_words, top, total = built.agg(*[F.coalesce(f, F.lit(0)) for f in (F.sum("tokens"), F.sum("n_words"), F.max("top"), F.sum("size"))]).first()
+    words = built.select("words", "word_n").where("n_words > 0").mapInPandas(_word_rows, "w binary, n long")
+    common = _commonest(words)
+    known = b" ".join(map(bytes, common["w"])), common["n"].to_numpy(np.int64), int(n_all), int(n_words)
+    if total <= MOST_BITS:
+        sizes, found = np.zeros(1 << bits, np.int64), {}
+        for s in built.select("segment", "size", "found").collect():
+            sizes[s["segment"]], found[s["segment"]] = s["size"], s["found"]
+        shared = spark.sparkContext.broadcast(((bits, top, sizes, b"".join(found[s] for s in sorted(found))), known))
+        del found
+        scored = stage(rows.mapInPandas(_scored(shared), f"{READ}, score double"), "lm-scored")
     else:
-        scored = _scored_by_table(rows, built, bits, known, schema)
+        scored = _scored_by_table(rows, built, bits, top, known)
     rest = scored.selectExpr("row", "inline(transform(rest, (w, i) -> named_struct('w', w, 'k', rest_n[i])))")
-    words = grams.where("w IS NOT NULL").select("w", "n")
     whole = math.log10(n_all + n_words + 1)
     more = rest.join(words, "w", "left").groupBy("row").agg(F.sum(F.expr("IF(n IS NULL, 0L, k)")).alias("k"), F.sum(F.expr(f"k * (log10(coalesce(n, 0L) + 1D) - {whole!r}D)")).alias("base"))
     out = scored.drop("rest", "rest_n").join(more, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", F.expr("n_sure + coalesce(k, 0L)").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), F.expr("base_sure + coalesce(base, 0D)").alias("base_score"), "score")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", F.expr("n_sure + coalesce(k, 0L)").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), F.expr("base_sure + coalesce(base, 0D)").alias("base_score"), "score")
