@@ -11,8 +11,9 @@ are counted separately; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +70,15 @@ class LongestMatch:
         return n, 0
 
 
+@lru_cache(maxsize=1)
 def load(path: str) -> LongestMatch:
-    """From a byte-level vocabulary: pieces that start with the letter of the space begin words, others go on."""
+    """One automaton a worker process, from a byte-level vocabulary: pieces that start with the letter of the space begin words, others go on."""
     pieces = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
     return LongestMatch([p for p in pieces if p.startswith(BEGIN)], [p for p in pieces if not p.startswith(BEGIN)])
 
 
 def _counted(path: str):
-    def run(parts):
+    def run(batches):
         match, table, known = load(path), dict(enumerate(byte_letters())), {}
 
         def missing(word: bytes) -> tuple[int, int]:
@@ -85,20 +87,20 @@ def _counted(path: str):
             found = known[word] = match.count(BEGIN + word.decode("latin-1").translate(table))
             return found
 
-        for p in parts:
+        for b in batches:
             rows = []
-            for text in p["t"]:
+            for text in b.column("t").to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 found = [known.get(w) or missing(w) for w in words]
                 rows.append((len(words), sum(x[0] for x in found), sum(x[1] for x in found)))
-            out = pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"]).astype("int64")
-            yield out.assign(doc_id=p["doc_id"].to_numpy())[["doc_id", "n_words", "n_tokens", "n_unknown"]]
+            counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     return run
 
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_tokens, n_unknown of every whole text."""
+    """doc_id, n_words, n_tokens, n_unknown of every whole text; keys of any type pass through as Arrow."""
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(_counted(vocabulary or vocabulary_path()), f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return rows.mapInArrow(_counted(vocabulary or vocabulary_path()), f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
