@@ -41,19 +41,29 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of an edge table (a, b), both of one orderable type: rows (v, root), root the least member.
 
     Minimum labels spread along the edges, then each vertex jumps to its label's label; both steps are equi-joins and
-    minima that combine before the shuffle, repeated on written tables until nothing changes. Vertices without edges
-    do not appear.
+    minima that combine before the shuffle, repeated on written tables until nothing changes. A jump joins only the labels that
+    have moved themselves, one row each, broadcast if few; else a third of all vertices under one label is a skewed side that
+    adaptive execution splits, as is a hub's edges. Vertices without edges do not appear.
     """
     both = stage(edges.select("a", "b").where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = stage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-labels")
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "root")
         best = stage(near.unionByName(labels.select("v", "root")).groupBy("v").agg(F.min("root").alias("root")), f"{name}-labels")
-        jumped = best.join(best.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("v", F.least("root", "next").alias("root"))
+        moved = best.select("root").distinct().join(best.select(F.col("v").alias("root"), F.col("root").alias("next")), "root").where("root <> next")
+        jumped = best.join(small(stage(moved, f"{name}-moved")), "root", "left").select("v", F.least("root", "next").alias("root"))
         after = stage(jumped, f"{name}-labels")
         changed = after.join(labels.withColumnRenamed("root", "was"), "v").where("root <> was").limit(1).count()
         labels = after

@@ -17,12 +17,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, stage
+from ._store import components, free, small, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 PIECE = 1 << 15
@@ -47,17 +47,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(parts):
-    for p in parts:
-        own = np.fromiter(map(fingerprint, p.pop("_s_text")), np.uint64, len(p)).view(np.int64)
-        yield p.assign(_s_fp=own)
+def _fingerprints(batches):
+    for b in batches:
+        own = np.fromiter(map(fingerprint, b.column("_s_text").to_pylist()), np.uint64, b.num_rows).view(np.int64)
+        yield b.drop_columns(["_s_text"]).append_column("_s_fp", pa.array(own))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keys: dict[str, str] | None = None) -> DataFrame:
-    """The key columns, given as SQL by name (all long), and _s_fp: the fingerprint as a signed 64-bit number."""
+    """The key columns, given as SQL by name (all long), and _s_fp: the fingerprint as a signed 64-bit number. Rows pass through
+    Python as Arrow, so that keys beside a null stay whole."""
     keys = keys or {"_s_id": "doc_id"}
     rows = docs.select(*[F.expr(v).cast("long").alias(k) for k, v in keys.items()], F.col(f"`{text}`").alias("_s_text"))
-    return rows.mapInPandas(_fingerprints, ", ".join(f"{k} long" for k in [*keys, "_s_fp"]))
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{k} long" for k in [*keys, "_s_fp"]))
 
 
 def block_count(n: int, radius: int = RADIUS) -> int:
@@ -102,10 +103,11 @@ def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS) -
 def clusters(prints: DataFrame, **options) -> DataFrame:
     """(_s_fp, component_id) from (_s_id, _s_fp): the least id of the documents whose fingerprints are linked."""
     points = stage(prints.groupBy(F.col("_s_fp").alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min("_s_id").alias("least")), "simhash-prints")
-    roots = stage(linked(points.select("fp", "n"), **options), "simhash-roots")
-    least = roots.join(points.select("fp", "least"), "fp")
-    own = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return roots.join(own, "root").select(F.col("fp").alias("_s_fp"), "component_id")
+    roots = linked(points.select("fp", "n"), **options).join(points.select("fp", "least"), "fp")
+    roots = stage(roots, "simhash-roots")
+    # Only groups of several fingerprints have another id than their own, one row each.
+    several = roots.groupBy("root").agg(F.min("least").alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return roots.join(small(stage(several, "simhash-several")), "root", "left").select(F.col("fp").alias("_s_fp"), F.expr("coalesce(own, least) AS component_id"))
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -116,14 +118,16 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document of least id of each group, one row of each; their own columns.
+    """The document of least id of each group, one row of each; their own columns, of any name.
 
     Of documents of one id, that of the least text hash counts as the least; those without an id come after all others. A row is
-    known by these three, so that whole texts are shuffled once: repeated rows go before and after it, and the join with the kept
-    ones follows by the same key.
+    known by these three, so that whole texts are shuffled once: of rows alike in them one stays, that of the least hash of all its
+    columns that have one, and the join with the kept ones follows by the same key.
     """
-    own = {"_s_none": f"cast(`{key}` IS NULL AS long)", "_s_key": f"coalesce(`{key}`, 0)", "_s_hash": f"xxhash64(`{text}`)"}
+    names = [free(n, docs.columns) for n in ("_s_none", "_s_key", "_s_hash")]
+    own = dict(zip(names, (f"cast(`{key}` IS NULL AS long)", f"coalesce(cast(`{key}` AS long), 0)", f"xxhash64(`{text}`)"), strict=True))
     known = stage(fingerprints(docs, text, own).select(F.struct(*own).alias("_s_id"), "_s_fp"), "simhash-docs")
     kept = stage(clusters(known).select("component_id.*").distinct(), "simhash-kept")
-    once = docs.withColumns({k: F.expr(v).cast("long") for k, v in own.items()}).dropDuplicates([*own])
-    return once.join(kept, [*own], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
+    once = docs.groupBy(*[F.expr(v).alias(k) for k, v in own.items()]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), tie).alias("row"))
+    return once.join(kept, names, "left_semi").select("row.*")
