@@ -21,7 +21,7 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,29 +214,35 @@ class Pieces:
         return out.astype(np.int32), np.cumsum(n) - n
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the texts are taken as one stream of characters, in blocks of whole runs."""
+        """Ids of each text; the texts are taken as one stream of characters, in blocks of whole runs, so that what is held beside
+        the characters and ids is bounded by a block, or by the longest run."""
         codes = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.asarray([len(t) + 1 if t else 0 for t in texts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        if not len(codes):
-            return [np.zeros(0, np.int32) for _ in texts]
-        symbols = self.symbol[codes]
-        cut = self.inside.values[0][self.inside.places(symbols[:-1], symbols[1:])] == NONE
-        begins = np.concatenate([[True], cut])
-        begins[starts[sizes > 0]] = True
-        first = np.nonzero(begins)[0]
-        place = np.arange(len(codes)) - np.repeat(starts, sizes)
-        ids, before, a, total = [], np.zeros(len(codes) + 1, np.int64), 0, 0
-        while a < len(first):
-            b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCK)))
-            lo, hi = int(first[a]), int(first[b]) if b < len(first) else len(codes)
-            out, n = self._block(codes[lo:hi], place[lo:hi], first[a:b] - lo)
-            before[lo:hi] = n + total
+        own = np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]  # where the texts that are not empty begin
+        ids, before, lo, total = [np.zeros(0, np.int32)], np.zeros(len(own) + 1, np.int64), 0, 0
+        while lo < len(codes):
+            hi = min(lo + BLOCK, len(codes))
+            while True:
+                symbols = self.symbol[codes[lo:hi]]
+                begins = np.concatenate([[True], self.inside.values[0][self.inside.places(symbols[:-1], symbols[1:])] == NONE])
+                a, b = np.searchsorted(own, [lo, hi])
+                begins[own[a:b] - lo] = True
+                first = np.nonzero(begins)[0]
+                if hi == len(codes):
+                    break
+                if len(first) > 1:  # the last run may go on: it opens the next block
+                    hi, first = lo + int(first[-1]), first[:-1]
+                    b = int(np.searchsorted(own, hi))
+                    break
+                hi = min(2 * hi - lo, len(codes))
+            start = own[np.searchsorted(own, np.arange(lo, hi), "right") - 1]
+            out, n = self._block(codes[lo:hi], np.arange(lo, hi) - start, first)
+            before[a:b] = n[own[a:b] - lo] + total
             ids.append(out)
-            a, total = b, total + len(out)
+            lo, total = hi, total + len(out)
         before[-1] = total
-        whole = np.concatenate(ids)
-        return [whole[before[s] : before[s + n]] for s, n in zip(starts, sizes, strict=True)]
+        whole, found = np.concatenate(ids), iter(zip(before[:-1], before[1:], strict=True))
+        return [whole[slice(*next(found))] if s else whole[:0] for s in sizes]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -252,44 +258,48 @@ def _model(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Pieces:
 
 
 def _encoded(path: str, dropout: float, seed: int, text: str):
-    def run(parts):
+    def run(batches):
         model = _model(path, dropout, seed)
-        for p in parts:
-            texts, at = p[text].tolist(), 0
+        for b in batches:
+            texts, at = b.column(text).to_pylist(), 0
             ends = np.cumsum([0 if t is None else len(t) for t in texts])
             while at < len(texts):
                 # Rows of about 2^20 characters at a time, one at least.
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
-                own = texts[at:to]
-                rows = [None if t is None else ids for t, ids in zip(own, model.encode_all([t or "" for t in own]), strict=True)]
-                out = p.iloc[at:to].drop(columns=[text])
-                out["ids"] = pd.Series(rows, index=out.index, dtype=object)
-                yield out
+                own = model.encode_all([t or "" for t in texts[at:to]])
+                places = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(own)), mask=pa.array([t is None for t in texts[at:to]]))
+                yield b.slice(at, to - at).drop_columns([text]).append_column("ids", ids)
                 at = to
 
     return run
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """docs with array column `ids` in place of the text; an own column of that name gives way."""
+    """docs with array column `ids` in place of the text; an own column of that name gives way. Rows pass through Python as Arrow,
+    so that carried columns of any type stay as they are."""
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "ids"])
     schema = T.StructType([f for f in rows.schema if f.name != text] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInPandas(_encoded(vocabulary or vocabulary_path(VOCABULARY), dropout, seed, text), schema)
+    return rows.mapInArrow(_encoded(vocabulary or vocabulary_path(VOCABULARY), dropout, seed, text), schema)
 
 
 def _decoded(path: str):
-    def run(parts):
+    def run(batches):
         model = _model(path)
-        for p in parts:
-            yield p.assign(text=[None if x is None else model.decode(x.tolist()) for x in p["ids"]]).drop(columns=["ids"])
+        for b in batches:
+            ids = b.column("ids")
+            places, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            texts = [model.decode(values[x:y].tolist()) if ok else None for x, y, ok in zip(places[:-1], places[1:], ids.is_valid().to_pylist(), strict=True)]
+            yield b.drop_columns(["ids"]).append_column("text", pa.array(texts, pa.string()))
 
     return run
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The rows of encode() with column `text` in place of the ids."""
-    schema = T.StructType([f for f in encoded.schema if f.name not in ("ids", "text")] + [T.StructField("text", T.StringType())])
-    return encoded.mapInPandas(_decoded(vocabulary or vocabulary_path(VOCABULARY)), schema)
+    """The rows of encode() with column `text` in place of the ids; an own column of that name gives way."""
+    rows = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "text"])
+    schema = T.StructType([f for f in rows.schema if f.name != "ids"] + [T.StructField("text", T.StringType())])
+    return rows.mapInArrow(_decoded(vocabulary or vocabulary_path(VOCABULARY)), schema)
 
 
 def pieces_report(docs: DataFrame) -> DataFrame:
