@@ -2,7 +2,8 @@
 verdicts joined back to the documents. SQL functions only.
 
 Defined results: a null text has no words and so fails; a null host is a host of its own; repeated rows count as often as they
-occur; an empty table gives an empty result; other columns of any name are carried along untouched by `judge`.
+occur; an empty table gives an empty result; other columns of any name are carried along untouched
+in `row` by `judge`.
 """
 
 from __future__ import annotations
@@ -49,37 +50,36 @@ def measures(text: str = "text") -> F.Column:
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, most_failed: float = MOST_FAILED) -> DataFrame:
-    """docs with column `_q`: the measures, base_failed, host_rate and kept. keep: columns to carry (all if None).
+    """(row, q): the documents' columns to keep (all if None), and the measures, base_failed, rejected_host_rate and kept.
 
     A host's failure rate is (failed + a) / (documents + a + b); a and b fit the beta distribution to the hosts' raw rates by
     moments. Documents of hosts whose rate is over most_failed go with the failed ones. The measured rows are written once;
     host sums combine before the shuffle; rejected hosts are broadcast only if counted to be few.
     """
     carried = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias("_q_host"), measures(text).alias("_q_m"))
-    failed = F.expr(f"_q_m.n_words < {LEAST_WORDS} OR 100 * _q_m.n_repeat_words > {MOST_REPEATED} * _q_m.n_words")
-    rows = stage(rows.withColumn("_q_failed", failed), "quality")
-    hosts = rows.groupBy("_q_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_q_failed").cast("long")).alias("f"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{host}`").alias("host"), measures(text).alias("m"))
+    failed = F.expr(f"m.n_words < {LEAST_WORDS} OR 100 * m.n_repeat_words > {MOST_REPEATED} * m.n_words")
+    rows = stage(rows.withColumn("failed", failed), "quality")
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
     hosts = stage(hosts, "quality-hosts")
     m, v = hosts.agg(F.avg(F.expr("f / n")), F.var_samp(F.expr("f / n"))).first()
     m, v = m or 0.0, v or 0.0
     weight = m * (1 - m) / v - 1 if 0 < v < m * (1 - m) else PRIOR_DOCS
     a, b = m * weight, (1 - m) * weight
     rate = (F.col("f") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    rejected = hosts.select(F.col("_q_host").alias("_q_bad"), rate.alias("_q_rate")).where(F.col("_q_rate") > most_failed)
-    out = rows.join(small(rejected), F.col("_q_host").eqNullSafe(F.col("_q_bad")), "left")
-    verdict = F.struct("_q_m.*", F.col("_q_failed").alias("base_failed"), F.col("_q_rate").alias("rejected_host_rate"), (~F.col("_q_failed") & F.col("_q_rate").isNull()).alias("kept"))
-    return out.select(*[F.col(f"`{c}`") for c in carried], verdict.alias("_q"))
+    rejected = hosts.select(F.col("host").alias("bad"), rate.alias("rate")).where(F.col("rate") > most_failed)
+    out = rows.join(small(rejected), F.col("host").eqNullSafe(F.col("bad")), "left")
+    return out.select("row", F.struct("m.*", F.col("failed").alias("base_failed"), F.col("rate").alias("rejected_host_rate"), (~F.col("failed") & F.col("rate").isNull()).alias("kept")).alias("q"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs, **options).where("_q.kept").drop("_q")
+    return judge(docs, **options).where("q.kept").select("row.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed, kept."""
-    return judge(docs, keep=["doc_id"]).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "_q.kept")
+    return judge(docs, keep=["doc_id"]).select("row.doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
 
 
 #: The same in DuckDB's SQL, over windows as joined rows instead of arrays of hashes.
