@@ -354,3 +354,6 @@ def clock_times(spark, sf_dir):
 @_query("square_grid", _with("SELECT concat(floor(lon / 0.05)::BIGINT, '_', floor(lat / 0.02)::BIGINT) AS id, count(*) AS n_stops FROM stops GROUP BY 1"))
 def square_grid(spark, sf_dir):
     return fx.stops(spark, sf_dir).groupBy(F.concat_ws("_", F.floor(F.col("lon") / 0.05), F.floor(F.col("lat") / 0.02)).alias("id")).agg(F.count(F.lit(1)).alias("n_stops"))
+
+
+from . import streets  # noqa: E402, F401
