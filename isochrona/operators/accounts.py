@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import base_route_type
+from ..sources.staging import small
+
 #: Shipped factors in grams CO2e per passenger-km by base route type (vehicle, fuel, infrastructure, operations).
 TRANSIT_FACTORS = {0: (2.0, 12.0, 11.0, 0.0), 1: (2.0, 12.0, 11.0, 0.0), 2: (2.0, 12.0, 11.0, 0.0), 3: (8.0, 72.0, 4.0, 8.0)}
 #: Monetary costs in EUR per km (perspective, mode, component).
@@ -23,20 +26,25 @@ def component_sum() -> Column:
 
 
 def factor_ladder(trips: DataFrame, user: DataFrame) -> DataFrame:
-    """trip with its factor, the first found of: user rows by trip, by route, by agency and type, by type; then the shipped one.
-    trips: trip, route, agency, route_type; user: trip_id, route_id, agency_id, route_type (null: not part of the key), components."""
-    u = user.withColumn("g", component_sum())
-    t = trips
-    rungs = (
+    """trip with its factor, the first found of: user rows by trip, by route, by agency and type, by type; then the shipped one. At
+    the rungs with a type the exact one comes before its base type, user rows before shipped ones; of equal keys the later row
+    holds. trips: trip, route, agency, route_type; user: trip_id, route_id, agency_id, route_type (null: not part of the key),
+    components."""
+    u = user.withColumn("g", component_sum()).withColumn("_o", F.monotonically_increasing_id())
+    t = trips.withColumn("_base", base_route_type(F.col("route_type")))
+    last = F.max_by("g", "_o")
+    wide = "trip_id IS NULL AND route_id IS NULL"
+    rungs = [
         ("trip", u.where("trip_id IS NOT NULL").groupBy(F.col("trip_id").alias("trip")), ["trip"]),
         ("route", u.where("trip_id IS NULL AND route_id IS NOT NULL").groupBy(F.col("route_id").alias("route")), ["route"]),
-        ("agency", u.where("trip_id IS NULL AND route_id IS NULL AND agency_id IS NOT NULL").groupBy(F.col("agency_id").alias("agency"), "route_type"), ["agency", "route_type"]),
-        ("type", u.where("trip_id IS NULL AND route_id IS NULL AND agency_id IS NULL").groupBy("route_type"), ["route_type"]),
-    )
+        *[(f"agency{c}", u.where(f"{wide} AND agency_id IS NOT NULL AND route_type IS NOT NULL").groupBy(F.col("agency_id").alias("agency"), F.col("route_type").alias(c)), ["agency", c]) for c in ("route_type", "_base")],
+        *[(f"type{c}", u.where(f"{wide} AND agency_id IS NULL AND route_type IS NOT NULL").groupBy(F.col("route_type").alias(c)), [c]) for c in ("route_type", "_base")],
+    ]
     for name, rows, on in rungs:
-        t = t.join(rows.agg(F.max("g").alias(f"_{name}")), on, "left")
+        t = t.join(small(rows.agg(last.alias(f"_{name}"))), on, "left")
     shipped = F.create_map(*[x for k, v in TRANSIT_FACTORS.items() for x in (F.lit(k), F.lit(sum(v)))])
-    return t.select("trip", F.coalesce("_trip", "_route", "_agency", "_type", F.get(F.array(shipped[F.col("route_type")]), F.lit(0))).alias("factor"))
+    own = lambda c: F.try_element_at(shipped, F.col(c).cast("int"))
+    return t.select("trip", F.coalesce("_trip", "_route", "_agencyroute_type", "_agency_base", "_typeroute_type", own("route_type"), "_type_base", own("_base")).alias("factor"))
 
 
 def rule_fare(rides: Column, rules: Column, pairs: Column, allowance_s: int, discounts: int, cap: float | None = None) -> Column:
@@ -57,7 +65,7 @@ def rule_fare(rides: Column, rules: Column, pairs: Column, allowance_s: int, dis
         )
 
     total = F.aggregate(rides, start, step)["total"]
-    return total if cap is None else F.least(total, F.lit(cap))
+    return total if cap is None else F.when(total.isNotNull(), F.least(total, F.lit(cap)))
 
 
 def rental_fare(seconds: Column, unlock: Column, per_minute: Column) -> Column:

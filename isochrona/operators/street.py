@@ -24,8 +24,10 @@ def permissions(highway: Column) -> dict[str, Column]:
 
 
 def arc_ms(metres: Column, kmh: Column) -> Column:
-    """Whole milliseconds of an arc, rounded up, at least one for a positive length; null where the mode may not go."""
-    return F.when(metres > 0, F.greatest(F.ceil(metres / (kmh / 3.6) * 1000), F.lit(1))).otherwise(F.lit(0))
+    """Whole milliseconds of an arc, rounded up, at least one for a positive length; null where the mode may not go: without a
+    speed or a length."""
+    ms = F.when(metres > 0, F.greatest(F.ceil(metres / (kmh / 3.6) * 1000), F.lit(1))).otherwise(F.lit(0))
+    return F.when(metres.isNotNull() & (kmh > 0), ms)
 
 
 def shortest(arcs: DataFrame, seeds: DataFrame, limit_ms: int) -> DataFrame:
@@ -42,13 +44,19 @@ def shortest(arcs: DataFrame, seeds: DataFrame, limit_ms: int) -> DataFrame:
         best = stage(best.unionByName(new).groupBy("source", "v").agg(F.min("ms").alias("ms")), "paths")
 
 
-def snap(points: DataFrame, stops: DataFrame, metres: float, cell: float = 0.01) -> DataFrame:
-    """(point, stop, metres): the nearest stop within reach, ties to the lower; both sides meet in grid cells only.
+def within(points: DataFrame, stops: DataFrame, metres: float, cell: float = 0.01) -> DataFrame:
+    """(point, stop, metres) of all stops within reach; both sides meet in grid cells only.
     cell, in degrees, must be at least `metres` wide in both directions."""
     at = lambda c: F.floor(F.col(c) / cell)
     p = points.withColumn("_y", at("plat")).withColumn("_x", at("plon"))
-    s = stops.withColumn("_y", F.explode(F.sequence(at("lat") - 1, at("lat") + 1))).withColumn("_x", F.explode(F.sequence(at("lon") - 1, at("lon") + 1)))
-    near = p.join(s, ["_y", "_x"]).withColumn("metres", haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).where(F.col("metres") <= metres)
+    reach = max(1, -(-int(metres) // 500))
+    s = stops.withColumn("_y", F.explode(F.sequence(at("lat") - reach, at("lat") + reach))).withColumn("_x", F.explode(F.sequence(at("lon") - reach, at("lon") + reach)))
+    return p.join(s, ["_y", "_x"]).withColumn("metres", haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).where(F.col("metres") <= metres).select("point", "stop", "metres")
+
+
+def snap(points: DataFrame, stops: DataFrame, metres: float, cell: float = 0.01) -> DataFrame:
+    """(point, stop, metres): the nearest stop within reach, ties to the lower."""
+    near = within(points, stops, metres, cell)
     return near.groupBy("point").agg(F.min(F.struct("metres", "stop")).alias("m")).selectExpr("point", "m.stop AS stop", "m.metres AS metres")
 
 
