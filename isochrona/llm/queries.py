@@ -21,4 +21,4 @@ QUERIES = {
     "op9_pieces": _over("documents", pieces.pieces_report),
     "op10_embedding_dedup": _over("embeddings", vectors.vector_report),
 }
-ORACLE_SQL = {"op1_quality_rules": quality.REPORT_SQL}
+ORACLE_SQL = {"op1_quality_rules": quality.REPORT_SQL, "op7_chat": chat.REPORT_SQL}
