@@ -1,4 +1,10 @@
-"""Corpus pipeline over `documents`: quality rules, SimHash near-dedup, PII pseudonyms, mixing, piece encoding."""
+"""Corpus pipeline over `documents`: quality rules, SimHash near-dedup, PII pseudonyms, mixing, piece encoding.
+
+Defined results: a null or empty text fails the quality rules, so later stages see none from here, though each defines them by
+itself; documents of null id count as distinct from those with one; repeated rows count as often as they occur until the SimHash
+stage keeps one; an empty table passes through as an empty one; columns beyond those of documents, of any name but `ids` in the
+last stage, are carried along.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +15,28 @@ from isochrona.llm._store import fresh_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, and those of rejected hosts, go."""
+    """Documents that fail the rules, and those of rejected hosts, go; a null text fails, a null source is a host."""
     return quality.keep_good(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of least id."""
+    """One document of each group of near copies stays, that of least id; those without an id come after all others."""
     return simhash.representatives(docs)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text with its personal data replaced."""
+    """Every text with its personal data replaced; a null text stays null."""
     return pii.pseudonymise(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources near their target weights: a row for each copy of a document that the mix takes."""
-    return mixing.mix(docs).select(*docs.columns)
+    """The sources near their target weights: a row for each copy of a document that the mix takes, shard after shard, each in its
+    own shuffled order; a null source is a source."""
+    return mixing.in_shards(mixing.mix(docs)).select("row.*")
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns but the text, and the ids of its pieces."""
+    """All columns but the text, and the ids of its pieces; a null text has null ids."""
     return pieces.encode(docs)
 
 
