@@ -251,3 +251,254 @@ def test_queries_are_registered():
 
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
     assert json.dumps(sorted(queries.ORACLE_SQL))
+
+
+def test_a_filter_that_is_never_broadcast_gives_the_same_scores(monkeypatch, docs):
+    want = sorted(map(tuple, ngram.lm_report(docs).collect()))
+    monkeypatch.setattr(ngram, "MOST_BITS", 0)
+    got = sorted(map(tuple, ngram.lm_report(docs).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=0)
+
+
+def test_probes_end_at_the_greatest_level_of_a_full_filter():
+    full = ngram.Filter(4, 3, np.full(16, 64), b"\xff" * 128)
+    assert full.levels(ngram._words(np.arange(100, dtype=np.uint64))).tolist() == [3] * 100
+    empty = ngram.Filter(4, 3, np.full(16, 64), bytes(128))
+    assert empty.levels(ngram._words(np.arange(100, dtype=np.uint64))).tolist() == [0] * 100
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [255, 256], [2**48 - 1, 0, 5], [1] * 1000):
+        assert ngram._unpacked(ngram._packed(np.array(x, np.uint64))).tolist() == x
+    cut, g = ngram.Segments(6), np.unique(ngram._words(np.arange(5000, dtype=np.uint64)))
+    assert np.array_equal(np.concatenate([cut.unpack(s, cut.pack(s, g[x])) for s, x in cut.cut(g)]), g)
+
+
+BIG = [(1152921504606846977, "one two three four five", "en", "a", 3), (None, "red green blue white", "en", "a", 3), (1152921504606846979, "north south east west", "en", "b", 3)]
+
+
+@pytest.mark.parametrize("report", [ngram.lm_report, wordpiece.token_counts, simhash.simhash_report, pieces.pieces_report], ids=lambda f: f.__name__)
+def test_long_keys_beside_a_null_stay_whole(spark, report):
+    got = report(spark.createDataFrame(BIG, DOCS).coalesce(1)).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in BIG}
+    if "component_id" in got[0]:
+        assert {r.component_id for r in got} == {r[0] for r in BIG}
+
+
+def test_piece_columns_of_any_type_are_carried(spark):
+    rows = spark.createDataFrame(BIG, DOCS).selectExpr("*", "cast(doc_id AS decimal(38, 0)) AS d", "array(doc_id) AS a", "map('k', doc_id) AS m", "timestamp'2024-01-02' AS ts").coalesce(1)
+    back = pieces.decode(pieces.encode(rows)).select(*rows.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_chat_equals_sql_and_keeps_the_budget(spark):
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    rng = np.random.default_rng(3)
+    rows = [(c, int(i), str(r), " ".join(["wörd"] * int(k)) + "[" * int(k % 3)) for c in range(60) for i, (r, k) in enumerate(zip(rng.choice(["user", "assistant", "system"], 40), rng.integers(0, 10 ** rng.integers(1, 4), 40), strict=True))]
+    rows += [(77, 0, "system", "be kind " * 200), *[(77, 1 + i, ("user", "assistant")[i % 2], "word " * 90) for i in range(28)], (78, 1, "user", "same"), (78, 1, "user", "same"), (78, None, None, None), (None, 2, "assistant", "字" * 5000)]
+    own = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        turns.setdefault(c, []).append((r or "", x or ""))
+    for name, df in (("conversations", table), ("own", own)):
+        if name == "own":
+            arrow = own.toArrow()  # noqa: F841
+            sql.sql("CREATE OR REPLACE VIEW conversations AS SELECT * FROM arrow")
+        want, got = sql.sql(chat.REPORT_SQL), chat.chat_report(df)
+        assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    made = chat.windows(own).selectExpr("conv_id", "window", "tokens", "n_repeated", "formatted", "size(split(formatted, '</s>')) - 1 AS n").collect()
+    assert all(w.tokens <= chat.BUDGET or w.n - w.n_repeated == 1 for w in made)
+    for c, own_turns in turns.items():
+        back = [w for w in sorted(made, key=lambda w: w.window) if w.conv_id == c]
+        assert sum(w.n - w.n_repeated for w in back) == len(own_turns)
+        if own_turns[0][0] == "system":
+            assert all(w.formatted.startswith("<|system|>") for w in back)
+
+
+@pytest.mark.parametrize("n, common", [(6000, 0.0), (6000, 0.8), (30000, 0.8)])
+def test_vectors_equal_brute_force_with_recall(spark, n, common):
+    """Random pairs near the threshold, in one label, around a common direction of the given cosine."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    e = rng.standard_normal((n, 64))
+    e = np.sqrt(1 - common) * e / np.linalg.norm(e, axis=1, keepdims=True) + np.sqrt(common) * centre
+    k = n // 10
+    e[:k] = e[k : 2 * k] + rng.uniform(0.1, 0.21, (k, 1)) * (lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))(rng.standard_normal((k, 64)))
+    e = e.astype(np.float32)
+    unit = e.astype(np.float64) / np.linalg.norm(e.astype(np.float64), axis=1, keepdims=True)
+    pairs = [(i, j + lo) for lo in range(0, n, 2000) for i, j in zip(*np.nonzero(unit @ unit[lo : lo + 2000].T >= vectors.LEAST), strict=True) if i < j + lo]
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = sorted((top(i), top(j)))
+        root[b] = a
+    links = np.bincount(np.array(pairs).ravel(), minlength=n)
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(e)], "vec_id long, embedding array<float>, label int, id string")
+    got = {r.vec_id: r for r in vectors.vector_report(df).collect()}
+    assert sum(g.n_links for g in got.values()) >= 0.9 * 2 * len(pairs) and len(pairs) > k / 2
+    assert all(got[i].n_links <= links[i] for i in range(n))
+    same = [got[i].component_id == top(i) and got[i].kept == (top(i) == i) for i in range(n) if links[i]]
+    assert sum(same) >= 0.9 * len(same)
+
+
+def test_vectors_of_odd_and_empty_tables(spark):
+    schema = "vec_id long, embedding array<float>, label int, id string, v int"
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (5, [2.0, 0.0], 1), (5, [2.0, 0.0], 1), (6, None, 1), (7, [], 1), (8, [1.0, None], 1), (9, [1.0, 0.0, 0.0], 1), (10, [-0.0, 1.0], 2), (11, [0.0, 1.0], 2)]
+    got = sorted(map(tuple, vectors.vector_report(spark.createDataFrame([(*r, "i", 0) for r in rows], schema)).collect()), key=str)
+    assert got == sorted([(None, 3, 5, None), (None, 3, 5, None), (5, 3, 5, True), (5, 3, 5, True), *[(i, 0, i, True) for i in (6, 7, 8, 9)], (10, 1, 10, True), (11, 1, 10, False)], key=str)
+    assert vectors.vector_report(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_repeated_rows_are_taken_up_to_the_target(spark):
+    rows = [(1, "a b c " * 30, "s")] * 50 + [(i, "x y z", "t") for i in range(200)] + [(2, "a b", None)] * 7
+    got = mixing.mixing_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size = {"s": 4500, "t": 600, None: 14}
+    # Weights 1, 2, 3 of all 5114 words; t and the null source stop at three times their size.
+    target = {"t": 1800.0, None: 42.0, "s": 5114 - 1842.0}
+    for s, n in size.items():
+        own = [r for r in got if r.source_size == n]
+        assert {round(r.target, 6) for r in own} == {target[s]} and abs(sum(r.taken for r in own) - target[s]) <= max(r["size"] for r in own)
+        assert all(r.taken == r["size"] * len(r.shards) for r in own)
+
+
+def test_targets_by_repeated_resharing(docs):
+    sizes, got = {}, {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").encode().split())
+    want, free, left = {}, {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}, sum(sizes.values())
+    while free:
+        over = {s: 3 * sizes[s] for s, w in free.items() if left * w / sum(free.values()) > 3 * sizes[s]}
+        if not over:
+            want |= {s: left * w / sum(free.values()) for s, w in free.items()}
+            break
+        want |= over
+        left, free = left - sum(over.values()), {s: w for s, w in free.items() if s not in over}
+    for r in mixing.mixing_report(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        got[r.source] = r.target
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * want[s] for s in want)
+
+
+def test_shards_are_written_in_shuffled_order(spark, docs, tmp_path):
+    mixed = mixing.mix(docs.selectExpr("*", "1 AS row", "2 AS _x", "3 AS id"))
+    mixing.write_shards(mixed, f"file://{tmp_path}/mix")
+    written = spark.read.parquet(f"file://{tmp_path}/mix")
+    assert sorted((r.row.doc_id, r.shard) for r in written.collect()) == sorted((r.row.doc_id, r.shard) for r in mixed.collect())
+    assert mixed.select("row.*").columns == [*docs.columns, "row", "_x", "id"]
+    place = {(r.shard, r.place): r.row.doc_id for r in mixed.collect()}
+    for shard in {s for s, _ in place}:
+        own = [r.row.doc_id for r in spark.read.parquet(f"file://{tmp_path}/mix/shard={shard}").collect()]
+        assert own == [place[x] for x in sorted(place) if x[0] == shard]
+    assert mixing.plan(10**9, 10**12) == (1 << 18, 1 << 13)
+
+
+def _feistel(tag, l, r, ml, mr):
+    h = lambda i, half, m: int(hashlib.sha256(f"{pii.KEY}:{tag}:{i}:{half}".encode()).hexdigest()[:15], 16) % m
+    for i in range(pii.ROUNDS):
+        l, r = ((l + h(i, r, ml)) % ml, r) if i % 2 == 0 else (l, (r + h(i, l, mr)) % mr)
+    return l, r
+
+
+def _luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def _pseudonym(m):
+    """Brute force of one find, None if it does not validate."""
+    import datetime
+    import re
+
+    d = re.sub("[^0-9]", "", m)
+    refill = lambda new: (lambda it: re.sub("[0-9]", lambda _: next(it), m))(iter(new))
+    sha = lambda x: hashlib.sha256(f"{pii.KEY}:{x}".encode()).hexdigest()
+    if "@" in m:
+        return "u" + sha(m.lower())[:12] + m[m.index("@") :]
+    if m.startswith("AKIA"):
+        return "AKIA" + sha(m)[:16].upper()
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+        a = m.split(".")
+        if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in a):
+            return None
+        a = [int(x) for x in a]
+        l, r = _feistel("ip", a[0] * 256 + a[1], a[2] * 256 + a[3], 65536, 65536)
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+        area, group, serial = map(int, m.split("-"))
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        l, r = _feistel("ssn", area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 989901)
+        return f"{l + 1 + (l > 664):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+    for form in ("%m/%d/%Y", "%d.%m.%Y", "%Y-%m-%d"):
+        if re.fullmatch({"%m/%d/%Y": r"\d\d/\d\d/\d{4}", "%d.%m.%Y": r"\d\d\.\d\d\.\d{4}", "%Y-%m-%d": r"\d{4}-\d\d-\d\d"}[form], m):
+            first = datetime.date(1900, 1, 1)
+            try:
+                x = (datetime.datetime.strptime(m, form).date() - first).days
+            except ValueError:
+                return None
+            if not 0 <= x < pii.DAYS:
+                return None
+            while True:
+                l, r = _feistel("date", x // pii.DAY_R, x % pii.DAY_R, pii.DAY_L, pii.DAY_R)
+                x = l * pii.DAY_R + r
+                if x < pii.DAYS:
+                    return (first + datetime.timedelta(x)).strftime(form)
+    if re.fullmatch(r"\d{13,19}|\d{4}[ -]\d+[ -]\d+([ -]\d+)?", m) and not re.search(r" \d{3} \d{4}$", m):
+        if not _luhn(d):
+            return None
+        b = d[1:-1]
+        n, k = len(b), len(b) // 2
+        l, r = _feistel(f"card{d[0]}-{n}", int(b[:k]), int(b[k:]), 10**k, 10 ** (n - k))
+        new = f"{d[0]}{l:0{k}d}{r:0{n - k}d}"
+        return refill(next(new + c for c in "0123456789" if _luhn(new + c)))
+    if re.fullmatch("[0-9a-zA-Z]+", m):
+        return sha(m)[: len(m)]
+    t, x = d[-10:], 0
+    area, exchange, serial = int(t[:3]), int(t[3:6]), int(t[6:])
+    if area >= 200 and exchange >= 200:
+        x = ((area - 200) * 800 + exchange - 200) * 10000 + serial
+        l, r = _feistel("phone", x // 80000, x % 80000, 80000, 80000)
+        x = l * 80000 + r
+        new = f"{x // 8000000 + 200:03d}{x // 10000 % 800 + 200:03d}{x % 10000:04d}"
+    else:
+        x = int(t) if area < 200 else 2 * 10**9 + ((area - 200) * 200 + exchange) * 10000 + serial
+        l, r = _feistel("phone-", x // 60000, x % 60000, 60000, 60000)
+        x = l * 60000 + r
+        y = x - 2 * 10**9
+        new = f"{x:010d}" if y < 0 else f"{y // 2000000 + 200:03d}{y // 10000 % 200:03d}{x % 10000:04d}"
+    return refill(d[:-10] + new)
+
+
+def test_pseudonyms_equal_brute_force(spark, docs):
+    import regex
+
+    odd_texts = ["a1b2c3d4e5f6a1b2c3d4e5f6a1b2c3d4 alone", "11b2c3d4e5f6a1b2c3d4e5f6a1b2c3d4", "1.2.3.4 and 01.2.3.4", "300.1.1.1", "123-45-6789, 666-12-3456, 665-01-0001, 667-01-0001, 899-99-9999", "(123) 456-7890 or 212-155-0001 or +1 212 555 0100", "31.02.2020 29.02.2020 12/31/2099 2100-01-01", "4041 8949 7460 8795", "password=hunter2hunter2", "", None]
+    table = docs.selectExpr("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd_texts)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for g in pii.pii_report(table).collect():
+        n = 0
+
+        def one(m):
+            nonlocal n
+            p = _pseudonym(m.group())
+            n += p is not None
+            return m.group() if p is None else p
+
+        want = None if texts[g.doc_id] is None else regex.sub(pii.FINDS, one, texts[g.doc_id])
+        assert (g.text, g.n_finds) == (want, n), g.doc_id
+
+
+def test_keys_with_quotes_and_valid_forms(spark):
+    rows = spark.createDataFrame([(i, f"{a:03d}-{g:02d}-{s:04d} and {i % 256}.1.2.3 and ({i % 1000:03d}) 555-{i % 10000:04d}", i) for i, (a, g, s) in enumerate((a, g, s) for a in (1, 665, 667, 899) for g in (1, 99) for s in range(1, 60))], "doc_id long, text string, _p int")
+    got = pii.pseudonymise(rows, key="it's a \\ key").collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "_p"} and len({r.text.split()[0] for r in got}) == len(got)
+    for r in got:
+        area, group, serial = map(int, r.text.split()[0].split("-"))
+        assert 0 < area < 900 and area != 666 and group and serial
+        assert r.text.split()[0] != rows.where(f"doc_id = {r.doc_id}").first().text.split()[0] if r.doc_id < 3 else True
