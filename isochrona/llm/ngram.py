@@ -21,11 +21,13 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ SEED, PROBES, MOST_BITS, BITS_AN_ENTRY = 11, 3, 96 << 23, 8
 #: Bits of an n-gram's hash, and bytes of text a segment.
 HASH_BITS, SEGMENT_BYTES = 48, 1 << 22
 WORD_BASE, PAIR_BASE, MU, DELTA = 1.3, 2.0, 200.0, 0.5
-TOP_WORDS, TOP_LENGTH, PAIRS_HELD, WORDS_HELD, BATCH = 200_000, 64, 1 << 22, 300_000, 1 << 21
+TOP_WORDS, TOP_LENGTH, PAIRS_HELD, WORDS_HELD, BATCH, PIECE = 200_000, 64, 1 << 20, 100_000, 1 << 18, 1 << 16
 END = b"\n"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,14 +79,19 @@ def _words(h: np.ndarray) -> np.ndarray:
 
 def _pairs(h: np.ndarray) -> np.ndarray:
     """The n-gram hash of each word with the one before it; the end comes before the first."""
-    before = np.concatenate([_END_HASH, h[:-1]])
-    with np.errstate(over="ignore"):
-        return _mix(before * _C + h) >> np.uint64(64 - HASH_BITS)
+    out = np.empty_like(h)
+    for at in range(0, len(h), PIECE):
+        before = np.concatenate([_END_HASH, h[:PIECE - 1]]) if at == 0 else h[at - 1 : at + PIECE - 1]
+        own = h[at : at + PIECE]
+        with np.errstate(over="ignore"):
+            out[at : at + PIECE] = _mix(before[: len(own)] * _C + own) >> np.uint64(64 - HASH_BITS)
+    return out
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Tokens: words, A-Z lower-cased, and the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    text = text or b""
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split()
     words.append(END)
     return words
 
@@ -100,6 +107,10 @@ def _estimate(level: np.ndarray, base: float) -> np.ndarray:
     return np.where(level == 0, 0.0, (lo + hi) / 2)
 
 
+#: The counts that levels stand for.
+WORD_N, PAIR_N = (_estimate(np.arange(256, dtype=np.int64), b) for b in (WORD_BASE, PAIR_BASE))
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers in the least bytes that hold them all, after a byte that says how many."""
     x = np.ascontiguousarray(x, "<u8")
@@ -147,6 +158,9 @@ def _probes(g: np.ndarray, level: int, size: np.ndarray):
 
 def _levels(found: np.ndarray, start: np.ndarray, size: np.ndarray, g: np.ndarray, top: int) -> np.ndarray:
     """Level of each n-gram by repeated probes; its segment is `size` bits from bit `start` of found on."""
+    if len(g) > PIECE:
+        cuts = [slice(at, at + PIECE) for at in range(0, len(g), PIECE)]
+        return np.concatenate([_levels(found, start[x], size[x], g[x], top) for x in cuts])
     out, alive = np.zeros(len(g), np.uint8), np.nonzero(size)[0]
     for level in range(1, top + 1):
         if not len(alive):
@@ -168,40 +182,59 @@ class Filter:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def levels(self, g: np.ndarray) -> np.ndarray:
-        s = self.segments.of(g)
-        return _levels(self.found, self.starts[s], self.sizes[s], g, self.top)
+        out = np.empty(len(g), np.uint8)
+        for at in range(0, len(g), PIECE):
+            own = g[at : at + PIECE]
+            s = self.segments.of(own)
+            out[at : at + PIECE] = _levels(self.found, self.starts[s], self.sizes[s], own, self.top)
+        return out
 
 
-def _gathered(parts):
-    """Partial counts: (w, null, n) of words, (null, h, n) of pairs in the order of h; what is held is bounded."""
-    pairs, held, words, n_words = [], 0, Vocabulary(), []
+#: Rows that are taken from an Arrow batch at a time.
+ROWS = 256
+
+
+def _arrow(run, schema: pa.Schema):
+    """run, from data frames to data frames, over Arrow batches, of which a few rows at a time become Python's."""
 
-    def flush_pairs():
-        h, n = np.unique(np.concatenate(pairs), return_counts=True)
-        return pd.DataFrame({"w": None, "h": h.view(np.int64), "n": n.astype(np.int64)})
+    def over(batches):
+        parts = (b.slice(at, ROWS).to_pandas() for b in batches for at in range(0, b.num_rows, ROWS))
+        for out in run(parts):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
 
-    def flush_words():
-        n = np.bincount(np.concatenate(n_words), minlength=len(words))
-        return pd.DataFrame({"w": list(words), "h": 0, "n": n.astype(np.int64)})
+    return over
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system before the worker process waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _gathered(parts):
+    """Partial counts: (w, null, n) of words, (null, h, n) of pairs in the order of h; what is held is bounded."""
+    held, words, streams = 0, Vocabulary(), []
+
+    def flush():
+        # Each text ends with the end, so that in the joined stream the end stands before the first word of the next one.
+        at, names = np.concatenate(streams), list(words)
+        yield pd.DataFrame({"w": names, "h": 0, "n": np.bincount(at, minlength=len(names)).astype(np.int64)})
+        g = _pairs(words.hashes()[at])
+        del at, names
+        g.sort()
+        first = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+        yield pd.DataFrame({"w": None, "h": g[first].view(np.int64), "n": np.diff(first, append=len(g))})
 
     for p in parts:
         for text in p["t"]:
-            tokens = words_of(text)
-            at = words.numbers(tokens)
-            n_words.append(at)
-            pairs.append(at)
-            held += len(at)
+            streams.append(words.numbers(words_of(text)))
+            held += len(streams[-1])
             if held >= PAIRS_HELD or len(words) >= WORDS_HELD:
-                h = words.hashes()
-                pairs = [_pairs(h[x]) for x in pairs]
-                yield flush_pairs()
-                yield flush_words()
-                pairs, held, words, n_words = [], 0, Vocabulary(), []
+                yield from flush()
+                held, words, streams = 0, Vocabulary(), []
     if held:
-        h = words.hashes()
-        pairs = [_pairs(h[x]) for x in pairs]
-        yield flush_pairs()
-        yield flush_words()
+        yield from flush()
 
 
 def _dealt_counts(bits: int):
@@ -219,6 +252,7 @@ def _dealt_counts(bits: int):
             else:
                 rows = [(s, segments.pack(s, h[x]), _packed(n[x]), None) for s, x in segments.cut(h)]
             yield pd.DataFrame(rows, columns=["segment", "pairs", "n", "words"])
+        _give_back()
 
     return run
 
@@ -271,6 +305,8 @@ def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, np.cumsum(n) - n)
 
 
+COUNTS = pa.schema([("segment", pa.int32()), ("pairs", pa.binary()), ("n", pa.binary()), ("words", pa.binary())])
+READ_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_sure", pa.int64()), ("base_sure", pa.float64()), ("rest", pa.list_(pa.binary())), ("rest_n", pa.list_(pa.int64()))])
 READ = "row long, doc_id string, held_out boolean, n_tokens long, n_sure long, base_sure double, rest array<binary>, rest_n array<long>"
 
 
@@ -305,6 +341,7 @@ def _read(parts, top: bytes, counts: np.ndarray, n_all: int, n_words: int):
                 heads, streams, words, held = [], [], Vocabulary(), 0
     if heads:
         yield batch(heads, streams, words)
+    _give_back()
 
 
 def _scored(shared):
@@ -313,9 +350,9 @@ def _scored(shared):
         found, (n_all, n_words) = Filter(*size), known[2:]
         for rows, n, h, at in _read(parts, *known):
             # The end stands before the first word of a batch, as each text's end before the next one's.
-            word = _estimate(found.levels(_words(h)), WORD_BASE)
-            end = _estimate(found.levels(_words(_END_HASH)), WORD_BASE)
-            pair = _estimate(found.levels(_pairs(h[at])), PAIR_BASE)
+            word = WORD_N[found.levels(_words(h))]
+            end = WORD_N[found.levels(_words(_END_HASH))]
+            pair = PAIR_N[found.levels(_pairs(h[at]))]
             before = np.concatenate([end, word[at[:-1]]])
             yield rows.assign(score=_sums(_log_p(pair, before, word[at], n_all, n_words), n))
 
@@ -329,8 +366,8 @@ def _batches(shared):
     def run(parts):
         for rows, n, h, at in _read(parts, *shared.value):
             yield rows.assign(**dict.fromkeys(batch_columns))
-            batch = [rows["row"].to_numpy(np.int64).tobytes(), n.tobytes(), h.tobytes(), _packed(at)]
-            yield pd.DataFrame([[rows["row"].iloc[0], *batch]], columns=["row", *batch_columns]).reindex(columns=[*rows.columns, *batch_columns]).astype(object).where(lambda x: x.notna(), None)
+            batch = dict(zip(batch_columns, (rows["row"].to_numpy(np.int64).tobytes(), n.tobytes(), h.tobytes(), _packed(at)), strict=True))
+            yield pd.DataFrame([dict.fromkeys(rows.columns) | {"row": rows["row"].iloc[0]} | batch], dtype=object)
 
     return run
 
@@ -381,9 +418,9 @@ def _joined(n_all: int, n_words: int):
     def scores(own: bytes, n: bytes, words: bytes, at: bytes, levels: list) -> pd.DataFrame:
         h, at, pairs, grams = _grams(words, at)
         level = np.frombuffer(b"".join(levels), np.uint8)
-        word = _estimate(level[np.searchsorted(grams, _words(h))], WORD_BASE)
-        end = _estimate(level[np.searchsorted(grams, _words(_END_HASH))], WORD_BASE)
-        pair = _estimate(level[np.searchsorted(grams, pairs)], PAIR_BASE)
+        word = WORD_N[level[np.searchsorted(grams, _words(h))]]
+        end = WORD_N[level[np.searchsorted(grams, _words(_END_HASH))]]
+        pair = PAIR_N[level[np.searchsorted(grams, pairs)]]
         before = np.concatenate([end, word[at[:-1]]])
         return pd.DataFrame({"row": np.frombuffer(own, np.int64), "score": _sums(_log_p(pair, before, word[at], n_all, n_words), np.frombuffer(n, np.int64))})
 
@@ -406,7 +443,7 @@ def _joined(n_all: int, n_words: int):
 def _scored_by_table(rows: DataFrame, built: DataFrame, bits: int, top: int, known: tuple) -> DataFrame:
     """The same as of _scored, by a filter that is not broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
-    read = stage(rows.mapInPandas(_batches(shared), f"{READ}, own binary, n binary, words binary, at binary"), "lm-batches")
+    read = stage(rows.mapInArrow(_arrow(_batches(shared), pa.schema([*READ_ARROW, *[(c, pa.binary()) for c in ("own", "n", "words", "at")]])), f"{READ}, own binary, n binary, words binary, at binary"), "lm-batches")
     batches = read.where("words IS NOT NULL").select(F.col("row").alias("batch"), "own", "n", "words", "at")
     hashes = batches.select("batch", "words", "at").mapInPandas(_dealt(bits), "segment int, batch long, held binary")
     both = hashes.unionByName(built.select("segment", F.lit(None).cast("long").alias("batch"), F.col("found").alias("held")))
@@ -435,11 +472,11 @@ def lm_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     spark, kind = docs.sparkSession, docs.select(F.col(f"`{key}`")).schema[0].dataType
     own = F.col(f"`{key}`").cast("string")
     held = F.coalesce(F.crc32(own) % 7 == 2, F.lit(False))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").alias("t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), own.alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
     train = rows.where("NOT held_out").select("t")
     size = train.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     bits = min(24, max(4, math.ceil(math.log2(size / SEGMENT_BYTES + 1))))
-    counts = train.mapInPandas(_dealt_counts(bits), "segment int, pairs binary, n binary, words binary")
+    counts = train.mapInArrow(_arrow(_dealt_counts(bits), COUNTS), "segment int, pairs binary, n binary, words binary")
     built = stage(counts.groupBy("segment").applyInPandas(_built(bits), BUILT), "lm-filter")
     n_all, n_words, top, total = built.agg(*[F.coalesce(f, F.lit(0)) for f in (F.sum("tokens"), F.sum("n_words"), F.max("top"), F.sum("size"))]).first()
     words = built.select("words", "word_n").where("n_words > 0").mapInPandas(_word_rows, "w binary, n long")
@@ -451,7 +488,8 @@ def lm_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
             sizes[s["segment"]], found[s["segment"]] = s["size"], s["found"]
         shared = spark.sparkContext.broadcast(((bits, top, sizes, b"".join(found[s] for s in sorted(found))), known))
         del found
-        scored = stage(rows.mapInPandas(_scored(shared), f"{READ}, score double"), "lm-scored")
+        scored = stage(rows.mapInArrow(_arrow(_scored(shared), pa.schema([*READ_ARROW, ("score", pa.float64())])), f"{READ}, score double"), "lm-scored")
+        shared.destroy()  # what it served for is written
     else:
         scored = _scored_by_table(rows, built, bits, top, known)
     rest = scored.selectExpr("row", "inline(transform(rest, (w, i) -> named_struct('w', w, 'k', rest_n[i])))")
