@@ -246,14 +246,14 @@ def fare_frontier(net: journeys.Network, seeds: DataFrame, structure: Structure,
         return stage(both.withColumn("least", F.min("total").over(before)).where("least IS NULL OR total < least").select(*columns, "fresh"), "fare-kept")
 
     for k in range(1, rounds + 1):
-        on = journeys._rides(net, new.withColumn("path", F.lit(None).cast(f"array<{journeys.STEP}>")), None)
+        on = journeys._rides(net, new.withColumn("path", net.no_path), None)
         on = on.withColumn("route_key", F.expr("cast(step.route AS string)")).join(priced, "route_key")
         ride = F.struct("type", F.col("route_key").alias("route"), "fare", "unlimited", "same_route", F.col("step.dep").alias("board"))
         after = boarded(F.col("state"), ride, pairs, structure.allowance * 60, structure.discounts)
         state = kept(on.withColumn("state", after).where("state IS NOT NULL").withColumn("rides", F.lit(k)))
         new, ever = state.where("fresh = 1").drop("fresh"), state.drop("fresh")
         if transfers is not None:
-            walked = journeys._walks(new.withColumn("path", F.lit(None).cast(f"array<{journeys.STEP}>")), transfers, None)
+            walked = journeys._walks(net, new.withColumn("path", net.no_path), transfers, None)
             fresh = kept(walked)
             ever = fresh.drop("fresh")
             new = ever.where(f"rides = {k}")

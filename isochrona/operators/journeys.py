@@ -14,13 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import small, stage
 
-STEP = "struct<kind:int,a:bigint,b:bigint,c:bigint,d:bigint,from_stop:bigint,to_stop:bigint,dep:bigint,arr:bigint,metres:double,factor:double,route:bigint>"
 KEY = ["origin", "departure"]
 
 
@@ -31,6 +30,17 @@ class Network:
     lines: DataFrame
     boards: DataFrame
 
+    @property
+    def step(self) -> str:
+        """Type of a step: rank; of a ride trip, day and places of boarding and alighting; stops, times, metres, factor, route."""
+        kinds = {f.name: f.dataType for f in self.lines.schema}
+        trip, stop, route = kinds["runs"].elementType["trip"].dataType.simpleString(), kinds["calls"].elementType["stop"].dataType.simpleString(), kinds["route"].simpleString()
+        return f"struct<kind:int,a:{trip},b:bigint,c:bigint,d:bigint,from_stop:{stop},to_stop:{stop},dep:bigint,arr:bigint,metres:double,factor:double,route:{route}>"
+
+    @property
+    def no_path(self) -> Column:
+        return F.lit(None).cast(f"array<{self.step}>")
+
     def without(self, routes: list[int] = (), trips: list[int] = ()) -> Network:
         """The network with these routes and trips not boarded; unknown ones are ignored."""
         lines = self.lines
@@ -63,23 +73,23 @@ def _rides(net: Network, labels: DataFrame, closed: DataFrame | None) -> DataFra
     met = ready.join(net.lines, "line").withColumn("run", F.expr("get(filter(runs, r -> r.start >= ready), 0)")).where("run IS NOT NULL")
     own = [c for c in labels.columns if c not in ("stop", "arrival")]
     on = met.withColumn("b", F.expr("filter(calls, x -> x.pos = at)[0]")).selectExpr(*own, "stop AS board", "route", "factor", "run", "b", "inline(transform(filter(calls, x -> x.pos > at), x -> named_struct('x', x)))")
-    step = F.expr(f"cast(named_struct('kind', 0, 'a', run.trip, 'b', run.day, 'c', b.pos, 'd', x.pos, 'f', board, 't', x.stop, 'dep', run.start + b.dep, 'arr', run.start + x.arr, 'm', x.cum - b.cum, 'g', factor, 'r', route) AS {STEP})")
+    step = F.expr(f"cast(named_struct('kind', 0, 'a', run.trip, 'b', run.day, 'c', b.pos, 'd', x.pos, 'f', board, 't', x.stop, 'dep', run.start + b.dep, 'arr', run.start + x.arr, 'm', x.cum - b.cum, 'g', factor, 'r', route) AS {net.step})")
     out = on.select(*own, F.expr("x.stop AS stop"), F.expr("run.start + x.arr AS arrival"), step.alias("step"))
     return out if closed is None else out.join(closed, "stop", "left_anti")
 
 
-def _walks(labels: DataFrame, transfers: DataFrame, closed: DataFrame | None) -> DataFrame:
+def _walks(net: Network, labels: DataFrame, transfers: DataFrame, closed: DataFrame | None) -> DataFrame:
     """One hop along transfers (from_stop, to_stop, seconds[, metres])."""
     t = transfers if closed is None else transfers.join(closed.withColumnRenamed("stop", "to_stop"), "to_stop", "left_anti")
     metres = "metres" if "metres" in transfers.columns else "cast(null AS double)"
-    step = F.expr(f"cast(named_struct('kind', 1, 'a', from_stop, 'b', to_stop, 'c', seconds, 'd', 0, 'f', from_stop, 't', to_stop, 'dep', arrival, 'arr', arrival + seconds, 'm', {metres}, 'g', 0.0D, 'r', null) AS {STEP})")
+    step = F.expr(f"cast(named_struct('kind', 1, 'a', null, 'b', null, 'c', null, 'd', null, 'f', from_stop, 't', to_stop, 'dep', arrival, 'arr', arrival + seconds, 'm', {metres}, 'g', 0.0D, 'r', null) AS {net.step})")
     own = [c for c in labels.columns if c not in ("stop", "arrival", "step")]
     return labels.drop("step").join(t.withColumnRenamed("from_stop", "stop").withColumn("from_stop", F.col("stop")), "stop").select(*own, F.col("to_stop").alias("stop"), (F.col("arrival") + F.col("seconds")).alias("arrival"), step.alias("step"))
 
 
-def _seeded(seeds: DataFrame, paths: bool) -> DataFrame:
-    access = F.expr(f"cast(named_struct('kind', 2, 'a', stop, 'b', arrival - departure, 'c', 0, 'd', 0, 'f', null, 't', stop, 'dep', departure, 'arr', arrival, 'm', {'metres' if 'metres' in seeds.columns else '0.0D'}, 'g', 0.0D, 'r', null) AS {STEP})")
-    return seeds.select(*KEY, "stop", "arrival", (F.array(access) if paths else F.lit(None).cast(f"array<{STEP}>")).alias("path"))
+def _seeded(net: Network, seeds: DataFrame, paths: bool) -> DataFrame:
+    access = F.expr(f"cast(named_struct('kind', 2, 'a', null, 'b', null, 'c', null, 'd', null, 'f', null, 't', stop, 'dep', departure, 'arr', arrival, 'm', {'metres' if 'metres' in seeds.columns else '0.0D'}, 'g', 0.0D, 'r', null) AS {net.step})")
+    return seeds.select(*KEY, "stop", "arrival", (F.array(access) if paths else net.no_path).alias("path"))
 
 
 def _grown(df: DataFrame, paths: bool) -> DataFrame:
@@ -98,21 +108,21 @@ def earliest(net: Network, seeds: DataFrame, rounds: int, transfers: DataFrame |
         closed = small(closed)
         seeds = seeds.join(closed, "stop", "left_anti")
     key, label = [*KEY, "stop"], F.struct("arrival", "path")
-    value = label if paths else F.struct("arrival", F.lit(None).cast(f"array<{STEP}>").alias("path"))
+    value = label if paths else F.struct("arrival", net.no_path.alias("path"))
 
     def joined(known: DataFrame, found: DataFrame) -> DataFrame:
         both = known.select(*key, value.alias("v"), F.lit(False).alias("new")).unionByName(found.select(*key, value.alias("v"), F.lit(True).alias("new")))
         return both.groupBy(*key).agg(F.min(F.expr("IF(new, null, v)")).alias("was"), F.min(F.expr("IF(new, v, null)")).alias("now"))
 
     better = "now IS NOT NULL AND (was IS NULL OR now.arrival < was.arrival)"
-    known = stage(_seeded(seeds, paths).groupBy(*key).agg(F.min(value).alias("v")).select(*key, "v.*"), "known")
+    known = stage(_seeded(net, seeds, paths).groupBy(*key).agg(F.min(value).alias("v")).select(*key, "v.*"), "known")
     new, out = known, [known.withColumn("rides", F.lit(0))]
     for k in range(1, rounds + 1):
         ridden = stage(joined(known, _grown(_rides(net, new, closed), paths)), "ridden")
         new = ridden.where(better).select(*key, "now.*")
         if transfers is not None:
             base = (ridden.where("now IS NOT NULL") if exact else ridden.where(better)).select(*key, "now.*")
-            hops = _grown(_walks(base, transfers, closed), paths)
+            hops = _grown(_walks(net, base, transfers, closed), paths)
             ridden = stage(joined(known, new.select(*key, "arrival", "path").unionByName(hops.select(*key, "arrival", "path"))), "walked")
             new = ridden.where(better).select(*key, "now.*")
         if not new.limit(1).count():
@@ -138,7 +148,7 @@ def frontier(net: Network, seeds: DataFrame, rounds: int, transfers: DataFrame |
     key = [*KEY, "stop"]
     columns = [*key, "arrival", "grams", "rides", "path"]
     measure = F.col("grams") if bucket is None else F.floor(F.col("grams") / bucket)
-    ever = stage(_seeded(seeds, True).withColumn("grams", F.lit(0.0)).withColumn("rides", F.lit(0)).select(*columns), "ever")
+    ever = stage(_seeded(net, seeds, True).withColumn("grams", F.lit(0.0)).withColumn("rides", F.lit(0)).select(*columns), "ever")
     if closed is not None:
         ever = ever.join(closed, "stop", "left_anti")
     new = ever
@@ -166,7 +176,7 @@ def frontier(net: Network, seeds: DataFrame, rounds: int, transfers: DataFrame |
         new = state.where("fresh = 1").drop("fresh")
         ever = state.drop("fresh")
         if transfers is not None:
-            walked = _grown(_walks(new, transfers, closed), True)
+            walked = _grown(_walks(net, new, transfers, closed), True)
             after = kept(walked)
             new = new.join(after.where("fresh = 0").select(*columns), columns, "left_semi").unionByName(after.where("fresh = 1").drop("fresh"))
             ever = after.drop("fresh")
