@@ -59,7 +59,11 @@ def prepare(calls: DataFrame) -> Network:
     c = calls.select("trip", "route", "pos", "stop", "arr", "dep", *[F.expr(v if k not in have else k).alias(k) for k, v in more.items()])
     one = c.groupBy("trip", "day", "route", "factor").agg(F.sort_array(F.collect_list(F.struct("pos", "stop", "arr", "dep", "cum"))).alias("c")).where("size(c) > 1")
     one = one.withColumn("start", F.col("c")[0]["arr"]).withColumn("calls", F.expr("transform(c, x -> named_struct('pos', x.pos, 'stop', x.stop, 'arr', x.arr - start, 'dep', x.dep - start, 'cum', x.cum))"))
-    lines = one.groupBy("route", "factor", "calls").agg(F.sort_array(F.collect_list(F.struct("start", "trip", "day"))).alias("runs"))
+    return of_lines(one.groupBy("route", "factor", "calls").agg(F.sort_array(F.collect_list(F.struct("start", "trip", "day"))).alias("runs")))
+
+
+def of_lines(lines: DataFrame) -> Network:
+    """The network of lines (route, factor, calls, runs), written with its boards."""
     lines = stage(lines.select(F.monotonically_increasing_id().alias("line"), "route", "factor", "calls", "runs"), "lines")
     boards = stage(lines.selectExpr("line", "size(calls) AS n", "posexplode(calls) AS (i, x)").where("i < n - 1").selectExpr("x.stop AS stop", "line", "x.pos AS at", "x.dep AS off"), "boards")
     return Network(small(lines, 20_000), small(boards))

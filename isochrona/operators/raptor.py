@@ -1,46 +1,22 @@
-"""Earliest arrivals by rounds, for all origins and departures at once: origin and departure are columns, each round is two
-equi-joins and two minima, and only stops improved in the last round are boarded from."""
+"""Earliest arrivals over lines given as tables of calls and runs; the rounds are those of the journey searches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from . import journeys
 
 
-def earliest(shape: DataFrame, runs: DataFrame, seeds: DataFrame, rounds: int, transfers: DataFrame | None = None, closed_stops: DataFrame | None = None) -> DataFrame:
-    """(origin, departure, rides, stop, arrival): improvements with exactly that many rides over all with fewer.
+def network(shape: DataFrame, runs: DataFrame) -> journeys.Network:
+    """The prepared network of lines as timetable.lines() gives them."""
+    calls = F.sort_array(F.collect_list(F.struct("pos", "stop", "arr", "dep", F.lit(None).cast("double").alias("cum"))))
+    starts = F.sort_array(F.collect_list(F.struct("start", "trip", F.lit(0).alias("day"))))
+    lines = shape.groupBy("line").agg(calls.alias("calls")).where("size(calls) > 1").join(runs.groupBy("line", "route").agg(starts.alias("runs")), "line")
+    return journeys.of_lines(lines.select("route", F.lit(None).cast("double").alias("factor"), "calls", "runs"))
+
 
-    shape, runs: lines as the timetable operators make them; seeds: origin, departure, stop, arrival; transfers: from_stop,
-    to_stop, seconds (one hop, from stops that a ride of this round improved); closed_stops: stop's not to board, alight or walk
-    at. Of a line only its first run that is still to come is taken: later ones of equal running times never arrive earlier.
-    """
-    key = ["origin", "departure"]
-    if closed_stops is not None:
-        shape_in = shape.join(F.broadcast(closed_stops), "stop", "left_anti")
-        seeds = seeds.join(F.broadcast(closed_stops), "stop", "left_anti")
-        if transfers is not None:
-            transfers = transfers.join(F.broadcast(closed_stops.withColumnRenamed("stop", "to_stop")), "to_stop", "left_anti")
-    else:
-        shape_in = shape
-    last = shape.groupBy("line").agg(F.max("pos").alias("last"))
-    board = shape_in.join(last, "line").where("pos < last").select("line", F.col("pos").alias("at"), "stop", F.col("dep").alias("off"))
-    alight = shape_in.select("line", F.col("pos").alias("to"), F.col("stop").alias("next"), F.col("arr").alias("ride"))
-    starts = runs.select("line", "start").distinct()
-    best = stage(seeds.groupBy(*key, "stop").agg(F.min("arrival").alias("arrival")), "best")
-    new, out = best, best.withColumn("rides", F.lit(0))
-    for k in range(1, rounds + 1):
-        ready = new.join(board, "stop").select(*key, "line", "at", (F.col("arrival") - F.col("off")).alias("ready"))
-        first = ready.join(starts, "line").where("start >= ready").groupBy(*key, "line", "at").agg(F.min("start").alias("start"))
-        by_ride = first.join(alight, "line").where("to > at").groupBy(*key, F.col("next").alias("stop")).agg(F.min(F.col("start") + F.col("ride")).alias("arrival"))
-        better = by_ride.join(best.withColumnRenamed("arrival", "was"), [*key, "stop"], "left").where("was IS NULL OR arrival < was").drop("was")
-        new = stage(better, "ridden")
-        if transfers is not None:
-            walked = new.join(transfers.withColumnRenamed("from_stop", "stop"), "stop").select(*key, F.col("to_stop").alias("stop"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
-            both = walked.unionByName(new.select(*key, "stop", "arrival")).groupBy(*key, "stop").agg(F.min("arrival").alias("arrival"))
-            new = stage(both.join(best.withColumnRenamed("arrival", "was"), [*key, "stop"], "left").where("was IS NULL OR arrival < was").drop("was"), "walked")
-        out = out.unionByName(new.withColumn("rides", F.lit(k)))
-        if k < rounds:
-            best = stage(best.unionByName(new).groupBy(*key, "stop").agg(F.min("arrival").alias("arrival")), "best")
-    return out.select("origin", "departure", "rides", "stop", "arrival")
+def earliest(shape: DataFrame, runs: DataFrame, seeds: DataFrame, rounds: int, transfers: DataFrame | None = None, closed_stops: DataFrame | None = None) -> DataFrame:
+    """(origin, departure, rides, stop, arrival): improvements with exactly that many rides over all with fewer; see
+    journeys.earliest. shape, runs: lines as the timetable operators make them."""
+    return journeys.earliest(network(shape, runs), seeds, rounds, transfers, closed_stops)

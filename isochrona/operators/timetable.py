@@ -52,7 +52,7 @@ def lines(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     first trip after a time matters. (line, pos, stop, arr, dep) with times from the start, and (line, route, service, trip, start)."""
     one = calls.groupBy("trip", "route", "service").agg(F.sort_array(F.collect_list(F.struct("pos", "stop", "arr", "dep"))).alias("c"))
     one = one.withColumn("start", F.col("c")[0]["arr"]).withColumn("shape", F.expr("transform(c, x -> named_struct('pos', x.pos, 'stop', x.stop, 'arr', x.arr - start, 'dep', x.dep - start))"))
-    one = one.withColumn("line", F.xxhash64("route", "service", "shape"))
+    one = one.withColumn("line", F.sha2(F.to_json(F.struct("route", "service", "shape")), 256))
     shape = one.groupBy("line").agg(F.first("shape").alias("shape")).selectExpr("line", "inline(shape)")
     return shape, one.select("line", "route", "service", "trip", "start")
 

@@ -8,17 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import journeys as jn
 from ..operators import timetable
 from ..sources import fixtures as fx
-from .registry import DEPARTURE, WALKS_SQL, _query, _walks, _with
-
-#: Networks prepared in this application, by what they are made of: a network is prepared once, not once a query.
-_PREPARED: dict = {}
-
-
-def prepared(spark, sf_dir, name: str, calls):
-    key = (spark.sparkContext.applicationId, str(sf_dir), name)
-    if key not in _PREPARED:
-        _PREPARED[key] = jn.prepare(calls(spark, sf_dir))
-    return _PREPARED[key]
+from .registry import DEPARTURE, WALKS_SQL, _query, _walks, _with, prepared
 
 
 def _measured(spark, sf_dir):

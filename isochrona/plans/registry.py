@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import accounts, pareto, raptor, street, timetable
+from ..operators import accounts, journeys, pareto, street, timetable
 from ..sources import fixtures as fx
 
 DEPARTURE, ROUNDS = 28800, 4
@@ -13,6 +13,17 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Networks prepared in this application, by what they are made of: a network is prepared once, not once a query.
+_PREPARED: dict = {}
+
+
+def prepared(spark, sf_dir, name: str, calls) -> journeys.Network:
+    key = (spark.sparkContext.applicationId, str(sf_dir), name)
+    if key not in _PREPARED:
+        _PREPARED[key] = journeys.prepare(calls(spark, sf_dir))
+    return _PREPARED[key]
+
+
 def _query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -50,8 +61,7 @@ def _values(origins, departures=(DEPARTURE,)) -> str:
 
 
 def _arrivals(spark, sf_dir, origins=(0,), departures=(DEPARTURE,), rounds=ROUNDS, where="true", **more):
-    calls = fx.stop_times(spark, sf_dir).where(where)
-    return raptor.earliest(*timetable.lines(calls), _seeds(spark, origins, departures), rounds, **more)
+    return journeys.earliest(prepared(spark, sf_dir, where, lambda s, d: fx.stop_times(s, d).where(where)), _seeds(spark, origins, departures), rounds, **more)
 
 
 BY_RIDES = "SELECT k AS rides, stop, a AS arrival FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, stop, a FROM b{k}" for k in range(1, ROUNDS + 1)) + ")"
@@ -75,7 +85,7 @@ def arrivals_excluding_route(spark, sf_dir):
 
 @_query("arrivals_excluding_stop", _with(BY_RIDES, *rounds_sql(_values([0]), shut="STOP NOT IN (1, 7)")))
 def arrivals_excluding_stop(spark, sf_dir):
-    return _by_rides(_arrivals(spark, sf_dir, closed_stops=spark.createDataFrame([(1,), (7,)], "stop long")))
+    return _by_rides(_arrivals(spark, sf_dir, closed=spark.createDataFrame([(1,), (7,)], "stop long")))
 
 
 WALKS_SQL = "walks AS (SELECT stop AS from_stop, (stop + 1) % m AS to_stop, 90 + (stop % 7) * 20 AS seconds FROM stops, n UNION ALL SELECT stop, (stop + 10) % m, 400 + stop % 11 FROM stops, n WHERE m > 10)"
@@ -133,7 +143,7 @@ def _all_arrivals(spark, sf_dir, departures=(DEPARTURE,)):
     """From all stops, with the reference's rounds."""
     seeds = spark.range(fx.n_stops(spark, sf_dir)).withColumn("departure", F.explode(F.array(*[F.lit(d).cast("long") for d in departures])))
     seeds = seeds.select(F.col("id").alias("origin"), "departure", F.col("id").alias("stop"), F.col("departure").alias("arrival"))
-    return raptor.earliest(*timetable.lines(fx.stop_times(spark, sf_dir)), seeds, ALL_ROUNDS)
+    return journeys.earliest(prepared(spark, sf_dir, "true", fx.stop_times), seeds, ALL_ROUNDS)
 
 
 @_query("time_matrix_all_stops", _with(f"SELECT o AS from_id, stop AS to_id, a - d AS travel_time_s FROM b{ALL_ROUNDS}", *rounds_sql(_all_values(), ALL_ROUNDS)))
@@ -356,4 +366,5 @@ def square_grid(spark, sf_dir):
     return fx.stops(spark, sf_dir).groupBy(F.concat_ws("_", F.floor(F.col("lon") / 0.05), F.floor(F.col("lat") / 0.02)).alias("id")).agg(F.count(F.lit(1)).alias("n_stops"))
 
 
-from . import fares, feeds, journeys, places, streets  # noqa: E402, F401
+from . import fares, feeds, places, streets  # noqa: E402, F401
+from . import journeys as _journeys  # noqa: E402, F401
