@@ -30,6 +30,9 @@ SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
 PHONE = r"(?<![0-9A-Za-z.)+-])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
 FINDS = "|".join((EMAIL, SECRET, IPV4, SSN, CARD, PHONE, DATE))
+#: Each find holds one of these: an e-mail its sign, each secret its letters or name, an IPv4 a point between digits, all other
+#: numbers two digits side by side. So a text without any of them holds no find.
+HINT = r"@|[0-9]{2}|[0-9]\.[0-9]|AKIA|[0-9a-f]{32}|(?:password|passwd|secret|api_key|token)="
 DAYS, DAY_L, DAY_R = 73049, 271, 270
 
 
@@ -121,10 +124,12 @@ def redacted(text: str = "text", key: str = KEY) -> F.Column:
     t = f"`{text}`"
     # Finds and the text between them alternate.
     return F.expr(f"""
-    transform(array(named_struct('m', regexp_extract_all({t}, {_q(FINDS)}, 0), 's', split({t}, {_q(FINDS)}, -1))), z ->
-      IF(coalesce(size(z.m), 0) <= 0, named_struct('text', {t}, 'finds', 0),
-        transform(array(transform(z.m, m -> {pseudonym('m', key)})), p ->
-          named_struct('text', concat(z.s[0], array_join(transform(z.m, (m, i) -> concat(coalesce(p[i], m), z.s[i + 1])), '')), 'finds', size(filter(p, x -> x IS NOT NULL))))[0]))[0]""")
+    CASE WHEN {t} RLIKE {_q(HINT)} THEN
+      transform(array(named_struct('m', regexp_extract_all({t}, {_q(FINDS)}, 0), 's', split({t}, {_q(FINDS)}, -1))), z ->
+        IF(coalesce(size(z.m), 0) <= 0, named_struct('text', {t}, 'finds', 0),
+          transform(array(transform(z.m, m -> {pseudonym('m', key)})), p ->
+            named_struct('text', concat(z.s[0], array_join(transform(z.m, (m, i) -> concat(coalesce(p[i], m), z.s[i + 1])), '')), 'finds', size(filter(p, x -> x IS NOT NULL))))[0]))[0]
+    ELSE named_struct('text', {t}, 'finds', 0) END""")
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
