@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from ._store import fresh_path, small, stage
 
-SEED, BLOCKS, SHARDS = 20240601, 1024, 16
+SEED, BLOCKS, SHARDS = 20240601, 1024, 64
 #: Documents a block and words a shard beyond which there are more blocks and shards.
-BLOCK_ROWS, SHARD_WORDS = 4096, 1 << 27
+BLOCK_ROWS, SHARD_WORDS = 4096, 1 << 25
 WEIGHTS, MOST_TIMES = (1, 2, 3), 3
 _HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 
