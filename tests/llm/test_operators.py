@@ -396,7 +396,7 @@ def test_shards_are_written_in_shuffled_order(spark, docs, tmp_path):
     for shard in {s for s, _ in place}:
         own = [r.row.doc_id for r in spark.read.parquet(f"file://{tmp_path}/mix/shard={shard}").collect()]
         assert own == [place[x] for x in sorted(place) if x[0] == shard]
-    assert mixing.plan(10**9, 10**12) == (1 << 18, 1 << 13)
+    assert mixing.plan(10**9, 10**12) == (1 << 18, 1 << 15)
 
 
 def _feistel(tag, l, r, ml, mr):
@@ -502,3 +502,15 @@ def test_keys_with_quotes_and_valid_forms(spark):
         area, group, serial = map(int, r.text.split()[0].split("-"))
         assert 0 < area < 900 and area != 666 and group and serial
         assert r.text.split()[0] != rows.where(f"doc_id = {r.doc_id}").first().text.split()[0] if r.doc_id < 3 else True
+
+
+def test_every_find_holds_a_hint(docs):
+    import random
+
+    import regex
+
+    rng, finds, hint = random.Random(2), regex.compile(pii.FINDS), regex.compile(pii.HINT)
+    odd_texts = ["".join(rng.choices("0123456789abcdefAKIZ.@-/ =:()+", k=60)) for _ in range(20000)] + [w + "=" + "Ab1" * 4 for w in ("password", "passwd", "secret", "api_key", "token")] + ["a1" * 20, "AKIA" + "Z" * 16, "1.2.3.4", "a@b.c"]
+    for t in [*odd_texts, *(r.text or "" for r in docs.collect())]:
+        for m in finds.finditer(t):
+            assert hint.search(t), (t, m)
