@@ -103,3 +103,10 @@ def walks_between(places: DataFrame, targets: DataFrame, edges: DataFrame, limit
 def cheapest_edges(edges: DataFrame) -> DataFrame:
     """Of edges between the same two vertices, in either direction, the shortest; loops go."""
     return edges.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("length", "edge")).alias("m")).select("u", "v", "m.edge", "m.length")
+
+
+def path_costs(best: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, cost, network_m): least cost of each pair, and the metres of the edges on its path."""
+    steps = path_edges(best, targets).select("source", "target", F.explode_outer("edges").alias("edge"))
+    metres = steps.join(edges.select("edge", F.col("length")), "edge", "left").groupBy("source", "target").agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("network_m"))
+    return metres.join(best.select("source", F.col("v").alias("target"), "cost"), ["source", "target"])

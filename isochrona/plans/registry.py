@@ -366,5 +366,5 @@ def square_grid(spark, sf_dir):
     return fx.stops(spark, sf_dir).groupBy(F.concat_ws("_", F.floor(F.col("lon") / 0.05), F.floor(F.col("lat") / 0.02)).alias("id")).agg(F.count(F.lit(1)).alias("n_stops"))
 
 
-from . import fares, feeds, places, streets  # noqa: E402, F401
+from . import fares, feeds, places, streets, surfaces  # noqa: E402, F401
 from . import journeys as _journeys  # noqa: E402, F401
