@@ -13,7 +13,7 @@ from ..sources import artifact, gtfs, staging
 from ..sources import fixtures as fx
 from ..streaming import sink
 from .journeys import _from_all, _net, morning_sql
-from .registry import _bad, _BAD_CALLS, _query, _with, rounds_sql
+from .registry import _BAD_CALLS, ROWS_ONLY, _bad, _query, _with, rounds_sql
 
 _FEEDS: dict = {}
 
@@ -80,11 +80,14 @@ def merged_feed_stops(spark, sf_dir):
     return gtfs.numbered(gtfs.read(spark, folder, folder)["stops"], "stop_id", name="number").select("stop_id", "feed", "number")
 
 
-@_query("fifo_chains")
 def fifo_chains(spark, sf_dir):
+    """First fit takes a pattern's trips one after another, so SQL has no form for it."""
     return chains.fifo_chains(fx.stop_times(spark, sf_dir)).select("trip", "route", "chain", "rank")
 
 
+ROWS_ONLY["fifo_chains"] = fifo_chains
+
+
 @_query("chain_trip_counts", _with("SELECT route, count(*) AS n_trips, true AS in_order, min(trip) AS least FROM trips GROUP BY 1"))
 def chain_trip_counts(spark, sf_dir):
     """Trips by route; whether within each chain none overtakes the one before."""

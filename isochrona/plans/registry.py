@@ -11,6 +11,8 @@ from ..sources import fixtures as fx
 DEPARTURE, ROUNDS = 28800, 4
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL does not express; tests hold their operators to plain versions.
+ROWS_ONLY: dict = {}
 
 
 #: Networks prepared in this application, by what they are made of: a network is prepared once, not once a query.
