@@ -369,4 +369,4 @@ def square_grid(spark, sf_dir):
 
 
 from . import fares, feeds, places, streets, surfaces  # noqa: E402, F401
-from . import journeys as _journeys  # noqa: E402, F401
+from . import journeys as _journey_queries  # noqa: E402, F401
