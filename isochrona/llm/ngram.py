@@ -393,20 +393,37 @@ def _dealt(bits: int):
 
 
 def _probed(bits: int, top: int):
-    """Levels of the n-grams of batches; each segment's bits come before them (no batch), none if it has no such row."""
+    """Levels of the n-grams of batches; each segment's bits come before them (no batch), none if it has no such row. The rows of a
+    segment are probed together: with many segments each has few n-grams of a batch."""
     segments = Segments(bits)
 
     def run(parts):
-        segment, found = -1, None
+        segment, found, rows, held_n = -1, None, [], 0
+
+        def levels():
+            if not rows:
+                return []
+            n, g = [len(g) for _, g in rows], np.concatenate([g for _, g in rows])
+            size = np.full(len(g), 0 if found is None else len(found) * 8, np.uint64)
+            level = _levels(found, np.zeros(len(g), np.uint64), size, g, top).tobytes()
+            ends = np.cumsum(n).tolist()
+            return [(batch, segment, level[end - k : end]) for (batch, _), k, end in zip(rows, n, ends, strict=True)]
+
         for p in parts:
             out = []
             for s, batch, held in zip(p["segment"], p["batch"], p["held"], strict=True):
+                if s != segment or held_n >= BATCH:
+                    out += levels()
+                    rows, held_n = [], 0
+                    if s != segment:
+                        segment, found = s, None
                 if pd.isna(batch):
-                    segment, found = s, np.frombuffer(held, np.uint8)
+                    found = np.frombuffer(held, np.uint8)
                     continue
-                g = segments.unpack(s, held)
-                size = np.full(len(g), len(found) * 8 if s == segment else 0, np.uint64)
-                out.append((int(batch), s, _levels(found, np.zeros(len(g), np.uint64), size, g, top).tobytes()))
+                rows.append((int(batch), segments.unpack(s, held)))
+                held_n += len(rows[-1][1])
+            out += levels()
+            rows, held_n = [], 0
             yield pd.DataFrame(out, columns=["batch", "segment", "levels"])
 
     return run

@@ -260,6 +260,25 @@ def test_a_filter_that_is_never_broadcast_gives_the_same_scores(monkeypatch, doc
     assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=0)
 
 
+def test_rows_of_a_segment_are_probed_together(monkeypatch):
+    import pandas as pd
+
+    cut, some = ngram.Segments(4), np.unique(ngram._words(np.arange(4000, dtype=np.uint64)))
+    own = {s: some[x] for s, x in cut.cut(some)}
+    words = {s: pd.DataFrame([(cut.pack(s, g), ngram._packed(np.full(len(g), 3)), None)], columns=["pairs", "n", "words"]) for s, g in own.items() if s != 7}
+    bits = {s: ngram._built(4)((s,), p)["found"][0] for s, p in words.items()}
+    rows = [(s, b, held) for s, g in own.items() for b, held in [*([(None, bits[s])] if s in bits else []), *[(b, cut.pack(s, g[b::40])) for b in range(40)]]]
+    called, plain = [], ngram._levels
+    monkeypatch.setattr(ngram, "_levels", lambda *a: called.append(1) or plain(*a))
+    table = pd.DataFrame(rows, columns=["segment", "batch", "held"])
+    cuts = [table[:100], table[100:101], table[101:]]
+    got = pd.concat(list(ngram._probed(4, 2)(cuts)))
+    assert len(called) <= len(own) + len(cuts)
+    assert sorted(zip(got["segment"], got["batch"])) == sorted((s, b) for s in own for b in range(40))
+    for s, b, levels in zip(got["segment"], got["batch"], got["levels"], strict=True):
+        assert len(levels) == len(own[s][b::40]) and set(levels) == ({0} if s == 7 else {2})
+
+
 def test_probes_end_at_the_greatest_level_of_a_full_filter():
     full = ngram.Filter(4, 3, np.full(16, 64), b"\xff" * 128)
     assert full.levels(ngram._words(np.arange(100, dtype=np.uint64))).tolist() == [3] * 100
