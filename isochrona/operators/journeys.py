@@ -1,10 +1,10 @@
 """Journey searches by rounds over a prepared network: earliest arrivals with their paths, and frontiers of arrival and emissions.
 
-A network is prepared once: trips of equal route, factor, stops, running times and distances are a line, kept as one row with its
-calls and its sorted runs; runs of today and of yesterday (a day earlier on the clock) are runs of one line. Origin and departure
+A network is prepared once: trips of equal route, factor, stops, running times and distances are a line, kept as rows of its
+calls and PART of its sorted runs; runs of today and of yesterday (a day earlier on the clock) are runs of one line. Origin and departure
 are columns, so all origins and departures of a query share each round: labels meet the lines that serve their stops, each line
 gives its first run still to come, its later calls become candidates, and one grouped minimum joins them with what is known.
-Lines and boards are broadcast only if counted to be few.
+Lines are broadcast only if their runs are counted to be few, boards if they are few themselves.
 
 A path is an array of steps listed from the destination back to the origin; each begins with its rank (ride 0, walk 1, access 2)
 and identity, so that arrays compare as the order in which equal arrivals are resolved: rides before walks, then by trip and place.
@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from ..sources.staging import small, stage
 
 KEY = ["origin", "departure"]
+#: Runs in a row of a line, and runs (about 50 bytes each) and lines that a network may have to be broadcast.
+PART, BROADCAST_RUNS, BROADCAST_LINES = 64, 1_000_000, 20_000
 
 
 @dataclass(frozen=True)
 class Network:
-    """lines: line, route, factor, calls (pos, stop, arr, dep, cum from the first call), runs (start, trip, day); boards: stop, line, at, off."""
+    """lines: line, route, factor, calls (pos, stop, arr, dep, cum from the first call), part, runs (start, trip, day), after (last start
+    of the part before) and last (start); boards: stop, line, at, off."""
 
     lines: DataFrame
     boards: DataFrame
@@ -47,7 +50,8 @@ class Network:
         if routes:
             lines = lines.where(~F.coalesce(F.col("route").isin(list(routes)), F.lit(False)))
         if trips:
-            lines = lines.withColumn("runs", F.filter("runs", lambda r: ~r["trip"].isin(list(trips))))
+            lines = lines.withColumn("runs", F.filter("runs", lambda r: ~r["trip"].isin(list(trips)))).where("size(runs) > 0").withColumn("last", F.expr("runs[size(runs) - 1].start"))
+            lines = lines.withColumn("after", F.lag("last").over(W.partitionBy("line").orderBy("part")))
         return replace(self, lines=lines)
 
 
@@ -63,10 +67,15 @@ def prepare(calls: DataFrame) -> Network:
 
 
 def of_lines(lines: DataFrame) -> Network:
-    """The network of lines (route, factor, calls, runs), written with its boards."""
+    """The network of lines (route, factor, calls, runs), written with its boards. A line's runs may be very many, so they are cut."""
     lines = stage(lines.select(F.monotonically_increasing_id().alias("line"), "route", "factor", "calls", "runs"), "lines")
     boards = stage(lines.selectExpr("line", "size(calls) AS n", "posexplode(calls) AS (i, x)").where("i < n - 1").selectExpr("x.stop AS stop", "line", "x.pos AS at", "x.dep AS off"), "boards")
-    return Network(small(lines, 20_000), small(boards))
+    cut = f"transform(sequence(0, (size(runs) - 1) div {PART}), k -> named_struct('part', cast(k AS int), 'runs', slice(runs, cast(k * {PART} AS int) + 1, {PART}), 'after', IF(k = 0, null, get(runs, cast(k * {PART} AS int) - 1).start)))"
+    parts = lines.where("size(runs) > 0").selectExpr("line", "route", "factor", "calls", f"inline({cut})").withColumn("last", F.expr("runs[size(runs) - 1].start"))
+    n_lines, n_runs = lines.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    parts = stage(parts, "line-parts")
+    few = n_lines <= BROADCAST_LINES and n_runs <= BROADCAST_RUNS
+    return Network(F.broadcast(parts) if few else parts.hint("merge"), small(boards))
 
 
 def _rides(net: Network, labels: DataFrame, closed: DataFrame | None) -> DataFrame:
@@ -74,7 +83,8 @@ def _rides(net: Network, labels: DataFrame, closed: DataFrame | None) -> DataFra
     columns stop, arrival and step are the new ones. A boarding at a run that begins the day before keeps its day."""
     boards = net.boards if closed is None else net.boards.join(closed, "stop", "left_anti")
     ready = labels.join(boards, "stop").withColumn("ready", F.expr("arrival - off"))
-    met = ready.join(net.lines, "line").withColumn("run", F.expr("get(filter(runs, r -> r.start >= ready), 0)")).where("run IS NOT NULL")
+    # One part of a line at most has its first run still to come.
+    met = ready.join(net.lines, "line").where("(after IS NULL OR ready > after) AND ready <= last").withColumn("run", F.expr("get(filter(runs, r -> r.start >= ready), 0)")).where("run IS NOT NULL")
     own = [c for c in labels.columns if c not in ("stop", "arrival")]
     on = met.withColumn("b", F.expr("filter(calls, x -> x.pos = at)[0]")).selectExpr(*own, "stop AS board", "route", "factor", "run", "b", "inline(transform(filter(calls, x -> x.pos > at), x -> named_struct('x', x)))")
     step = F.expr(f"cast(named_struct('kind', 0, 'a', run.trip, 'b', run.day, 'c', b.pos, 'd', x.pos, 'f', board, 't', x.stop, 'dep', run.start + b.dep, 'arr', run.start + x.arr, 'm', x.cum - b.cum, 'g', factor, 'r', route) AS {net.step})")

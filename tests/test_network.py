@@ -434,3 +434,50 @@ def test_two_feeds_stay_apart(spark, tmp_path):
     net = api.TransportNetwork.from_gtfs(spark, one, one)
     got = {(r.from_id, r.to_id) for r in net.travel_time_matrix(["0:S"], "2022-02-22", "08:00:00").collect()}
     assert got == {("0:S", "0:S"), ("0:S", "0:E")} and timetable.patterns(net.calls).count() == 2
+
+
+def test_the_runs_of_a_line_are_kept_in_parts(spark, monkeypatch):
+    # Two runs each minute of one line, every third of them a second time by a trip of another name.
+    starts = [(30 * i, i) for i in range(400)] + [(30 * i, 1000 + i) for i in range(0, 400, 3)]
+    calls = [(trip, 1, pos, stop, start + 100 * pos, start + 100 * pos + 20) for start, trip in starts for pos, stop in enumerate((5, 6, 7))]
+    calls = spark.createDataFrame(calls, "trip long, route long, pos int, stop int, arr long, dep long")
+    seeds = spark.createDataFrame([(o, d, o, d) for o in (5, 6) for d in (0, 1, 20, 1919, 1920, 1921, 5000, 12050, 99999)], "origin int, departure long, stop int, arrival long")
+
+    def first(gone=()):
+        out = set()
+        for o, d in {(o, d) for o, d, _, _ in map(tuple, seeds.collect())}:
+            at = o - 5
+            runs = sorted((s, t) for s, t in starts if t not in gone and s + 100 * at + 20 >= d)
+            out |= {(o, d, s, runs[0][0] + 100 * (s - 5), runs[0][1]) for s in range(o + 1, 8) if runs}
+        return out
+
+    def got(net):
+        return {(r.origin, r.departure, r.stop, r.arrival, r.path[0].a) for r in journeys.earliest(net, seeds, 1, paths=True).where("rides = 1").collect()}
+
+    gone = [*range(50, 250), 1063, 1066, 399]
+    for most in (10**6, 100):
+        monkeypatch.setattr(journeys, "BROADCAST_RUNS", most)
+        net = journeys.prepare(calls)
+        assert net.lines.agg({"part": "max"}).first()[0] == len(starts) // journeys.PART
+        assert max(len(r.runs) for r in net.lines.collect()) <= journeys.PART
+        hints = net.lines._jdf.queryExecution().analyzed().toString()
+        assert ("strategy=broadcast" in hints) == (most > len(starts))
+        assert got(net) == first() and got(net.without(trips=gone)) == first(gone)
+
+
+#: Queries whose lines were broadcast whole, however many runs they had.
+MANY_RUNS = ["arrivals_excluding_route"]
+
+
+@pytest.mark.parametrize("name", MANY_RUNS)
+def test_many_runs_are_not_broadcast(spark, monkeypatch, name):
+    from isochrona.plans import registry
+
+    folder, made = "/root/testdata/sf0.001", []
+    want = sorted(map(tuple, registry.QUERIES[name](spark, folder).collect()))
+    monkeypatch.setattr(registry, "_PREPARED", {})
+    monkeypatch.setattr(journeys, "BROADCAST_RUNS", 500, raising=False)
+    prepare = journeys.prepare
+    monkeypatch.setattr(journeys, "prepare", lambda calls: made.append(prepare(calls)) or made[-1])
+    assert sorted(map(tuple, registry.QUERIES[name](spark, folder).collect())) == want
+    assert made and not any("strategy=broadcast" in net.lines._jdf.queryExecution().analyzed().toString() for net in made)
