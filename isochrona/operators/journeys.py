@@ -12,8 +12,11 @@ and identity, so that arrays compare as the order in which equal arrivals are re
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from ..sources.staging import small, stage
 KEY = ["origin", "departure"]
 #: Runs in a row of a line, and runs (about 50 bytes each) and lines that a network may have to be broadcast.
 PART, BROADCAST_RUNS, BROADCAST_LINES = 64, 1_000_000, 20_000
+#: Cuts of a group's options that are searched before the group.
+CUTS = 32
 
 
 @dataclass(frozen=True)
@@ -268,15 +273,48 @@ def beating_walks(journeys: DataFrame, walks: DataFrame) -> DataFrame:
     return journeys.join(walks, ["origin", "point"], "left").where("walk_seconds IS NULL OR arrival - departure < walk_seconds").drop("walk_seconds")
 
 
+def _least(group: list[str]):
+    """Of points (group, departure, m, arrival), one for each departure and m, those that no other of the group beats: in order of
+    leaving later, then of arriving earlier, then of m, a point stays if none before it has as little of arrival and m."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        rank = {c: np.unique(p[c].to_numpy(), return_inverse=True)[1] for c in ("departure", "arrival", "m")}
+        stairs, on = [], []  # of those that stay: arrival up, m down
+        for i in np.lexsort((rank["m"], rank["arrival"], -rank["departure"])).tolist():
+            arrival, m = int(rank["arrival"][i]), int(rank["m"][i])
+            k = bisect.bisect_right(stairs, arrival, key=lambda s: s[0])
+            if k and stairs[k - 1][1] <= m:
+                continue
+            on.append(i)
+            k = end = bisect.bisect_left(stairs, arrival, key=lambda s: s[0])
+            while end < len(stairs) and stairs[end][1] >= m:
+                end += 1
+            stairs[k:end] = [(arrival, m)]
+        return p.iloc[on][[*group, "departure", "m", "arrival"]]
+
+    return run
+
+
 def capped(options: DataFrame, group: list[str], most: int, bucket: float | None = None) -> DataFrame:
     """Options (departure, arrival, grams) of each group: all that none beats in departure, arrival and (buckets of) grams, then, up
-    to `most` in all, those that come least behind an option that beats them, ties to the cleaner."""
+    to `most` in all, those that come least behind an option that beats them, ties to the cleaner.
+
+    What is beaten is beaten by one that none beats, and only groups with less than `most` of these have room for more, so that no
+    option meets as many."""
     o = options.withColumn("_m", F.col("grams") if bucket is None else F.floor(F.col("grams") / bucket)).withColumn("_id", F.monotonically_increasing_id())
     o = stage(o, "options")
-    a, b = o.alias("a"), o.select(*group, F.col("departure").alias("d2"), F.col("arrival").alias("a2"), F.col("_m").alias("m2"), F.col("_id").alias("id2"))
-    beats = "d2 >= departure AND a2 <= arrival AND m2 <= _m AND (d2 > departure OR a2 < arrival OR m2 < _m)"
-    pairs = stage(a.join(b, group).where(beats).select(*group, "_id", "id2", F.expr("arrival - a2 AS gap")), "beaten")
-    top = o.join(pairs.select("_id").distinct(), "_id", "left_anti").select(F.col("_id").alias("id2"))
-    gaps = pairs.join(top, "id2", "left_semi").groupBy("_id").agg(F.min("gap").alias("gap"))
-    ranked = o.join(gaps, "_id", "left").withColumn("frontier", F.col("gap").isNull()).withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("frontier"), F.coalesce("gap", F.lit(0)), "_m", "grams", "_id")))
-    return ranked.where(f"frontier OR _r <= {most}").withColumn("behind", F.coalesce("gap", F.lit(0))).drop("_id", "_m", "_r", "gap")
+    # Options without a group or a value neither beat nor are beaten.
+    whole = " AND ".join(f"`{c}` IS NOT NULL" for c in [*group, "departure", "arrival", "_m"])
+    points = o.where(whole).groupBy(*group, "departure", F.col("_m").alias("m")).agg(F.min("arrival").alias("arrival"))
+    # First within cuts, so that the task of a large group gets little.
+    some = points.groupBy(*group, F.pmod(F.hash("departure", "m"), F.lit(CUTS))).applyInPandas(_least(group), points.schema)
+    top = stage(some.groupBy(*group).applyInPandas(_least(group), points.schema), "top")
+    on = o.where(whole).join(top.withColumnRenamed("m", "_m"), [*group, "departure", "arrival", "_m"], "left_semi").select(o.columns)
+    frontier = on.unionByName(o.where(f"NOT ({whole})"))
+    room = frontier.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < most)
+    few = top.join(room, group).groupBy(*group, "_n").agg(F.collect_list(F.struct("departure", "m", "arrival")).alias("_top"))
+    rest = o.where(whole).join(small(few), group).where("NOT exists(_top, x -> x.departure = departure AND x.m = _m AND x.arrival = arrival)")
+    rest = rest.withColumn("behind", F.expr("arrival - array_max(transform(filter(_top, x -> x.departure >= departure AND x.m <= _m AND x.arrival <= arrival), x -> x.arrival))"))
+    rest = rest.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("behind", "_m", "grams", "_id"))).where((F.col("_r") <= most) & (F.col("_r") <= most - F.col("_n"))).select(*o.columns, "behind")
+    none = F.lit(0).cast(rest.schema["behind"].dataType)
+    return frontier.withColumn("behind", none).withColumn("frontier", F.lit(True)).unionByName(rest.withColumn("frontier", F.lit(False))).drop("_id", "_m")

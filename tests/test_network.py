@@ -481,3 +481,31 @@ def test_many_runs_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(journeys, "prepare", lambda calls: made.append(prepare(calls)) or made[-1])
     assert sorted(map(tuple, registry.QUERIES[name](spark, folder).collect())) == want
     assert made and not any("strategy=broadcast" in net.lines._jdf.queryExecution().analyzed().toString() for net in made)
+
+
+@pytest.mark.parametrize("most", [1, 6, 40])
+def test_capped_equals_all_pairs(spark, monkeypatch, most):
+    import random
+
+    random.seed(most)
+    pick = lambda n: None if random.random() < 0.01 else random.randrange(n)
+    rows = [(i, pick(3), pick(9), pick(30), None if (g := pick(12)) is None else g / 4) for i in range(400)]
+    # A group whose many options are all beaten by one.
+    rows += [(i, 7, 5, 0 if i == 500 else 10 + i, 0.25) for i in range(500, 900)]
+
+    def beats(y, x):
+        whole = None not in x[1:] and None not in y[1:]
+        return whole and y[1] == x[1] and y[2] >= x[2] and y[3] <= x[3] and y[4] <= x[4] and y[2:] != x[2:]
+
+    want = []
+    for cell in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == cell]
+        top = [x for x in own if not any(beats(y, x) for y in own)]
+        rest = sorted((min(x[3] - y[3] for y in top if beats(y, x)), x[4]) for x in own if x not in top)
+        want += [(cell, r[0], True, 0) for r in top] + [(cell, grams, False, gap) for gap, grams in rest[: max(0, most - len(top))]]
+    written, write = [], journeys.stage
+    monkeypatch.setattr(journeys, "stage", lambda df, name: (lambda out: written.append(out.count()) or out)(write(df, name)))
+    df = spark.createDataFrame(rows, "id long, cell long, departure long, arrival long, grams double")
+    got = [(r.cell, r.id if r.frontier else r.grams, r.frontier, r.behind) for r in journeys.capped(df, ["cell"], most).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert max(written) <= len(rows)  # not the pairs of options
