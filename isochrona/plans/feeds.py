@@ -91,13 +91,13 @@ ROWS_ONLY["fifo_chains"] = fifo_chains
 @_query("chain_trip_counts", _with("SELECT route, count(*) AS n_trips, true AS in_order, min(trip) AS least FROM trips GROUP BY 1"))
 def chain_trip_counts(spark, sf_dir):
     """Trips by route; whether within each chain none overtakes the one before."""
-    c = chains.fifo_chains(fx.stop_times(spark, sf_dir)).drop("stops")
     from pyspark.sql import Window as W
 
-    calls = fx.stop_times(spark, sf_dir).select("trip", "pos", "arr", "dep").join(c, "trip")
-    w = W.partitionBy("route", "chain", "pos").orderBy("rank")
-    ok = F.coalesce((F.col("arr") >= F.lag("arr").over(w)) & (F.col("dep") >= F.lag("dep").over(w)), F.lit(True))
-    return calls.withColumn("ok", ok).where("pos >= 0").groupBy("route").agg(F.countDistinct("trip").alias("n_trips"), F.min("ok").alias("in_order"), F.min("trip").alias("least"))
+    c = chains.fifo_chains(fx.stop_times(spark, sf_dir), times=True)
+    w = W.partitionBy("route", "stops", "chain").orderBy("rank")
+    after = lambda t: F.forall(F.zip_with(t, F.lag(t).over(w), lambda x, y: x >= y), lambda ok: ok)
+    ok = F.coalesce(after("arrs") & after("deps"), F.lit(True))
+    return c.withColumn("ok", ok).groupBy("route").agg(F.count(F.lit(1)).alias("n_trips"), F.min("ok").alias("in_order"), F.min("trip").alias("least"))
 
 
 @_query("dense_trip_numbers", _with("SELECT count(*) AS n, min(number) AS least, max(number) AS most, count(DISTINCT number) AS distinct_numbers FROM (SELECT row_number() OVER (ORDER BY route, trip) - 1 AS number FROM trips)"))

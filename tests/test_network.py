@@ -509,3 +509,24 @@ def test_capped_equals_all_pairs(spark, monkeypatch, most):
     got = [(r.cell, r.id if r.frontier else r.grams, r.frontier, r.behind) for r in journeys.capped(df, ["cell"], most).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert max(written) <= len(rows)  # not the pairs of options
+
+
+def test_chain_trip_counts_joins_nothing(spark):
+    from isochrona.plans import registry
+
+    found = registry.QUERIES["chain_trip_counts"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.agg(F.min("in_order")).first()[0] is True
+
+
+def test_chains_with_their_times(spark):
+    rows = [(t, t % 2, pos, pos, s := (t * 7) % 50 + pos * (3 + t % 4), s + 1) for t in range(200) for pos in range(4)]
+    calls = spark.createDataFrame(rows, "trip long, route long, pos int, stop int, arr long, dep long")
+    plain, timed = chains.fifo_chains(calls), chains.fifo_chains(calls, times=True)
+    assert sorted(map(tuple, timed.drop("arrs", "deps").collect())) == sorted(map(tuple, plain.collect()))
+    assert {r.trip: (r.arrs, r.deps) for r in timed.collect()} == {t: ([r[4] for r in rows if r[0] == t], [r[5] for r in rows if r[0] == t]) for t in range(200)}
+    last = {}
+    for r in timed.orderBy("route", "stops", "chain", "rank").collect():
+        key = (r.route, r.stops, r.chain)
+        assert all(x >= y for x, y in zip(r.arrs + r.deps, last.get(key, [-1] * 8), strict=True))
+        last[key] = r.arrs + r.deps
