@@ -33,13 +33,19 @@ def snaps(points: DataFrame, parts: DataFrame, metres: float, cell: float = 0.01
     """(point, edge, along, connector): the nearest place on an edge within reach, ties to the lower edge and the nearer to its
     start. points: point, lon, lat; parts: as of pieces(), of the edges that the traveller may use. Cells in degrees."""
     reach = max(1, int(metres // (cell * 50_000)) + 1)  # a degree of longitude has at least 50 km up to 63 degrees of latitude
+    across = max(1, int((metres + MAX_PIECE) // (cell * 110_000)) + 1)  # and one of latitude 110 km
     at = lambda c: F.floor(c / cell)
-    p = points.withColumn("_x", F.explode(F.sequence(at(F.col("lon")) - reach, at(F.col("lon")) + reach))).withColumn("_y", F.explode(F.sequence(at(F.col("lat")) - reach, at(F.col("lat")) + reach)))
+    # Each place once, and dealt out: a small file of points has many cells and pieces to meet.
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = points.select("lon", "lat").distinct().repartition(spread)
+    p = places.withColumn("_x", F.explode(F.sequence(at(F.col("lon")) - reach, at(F.col("lon")) + reach))).withColumn("_y", F.explode(F.sequence(at(F.col("lat")) - across, at(F.col("lat")) + across)))
     s = parts.withColumn("_x", at((F.col("lon1") + F.col("lon2")) / 2)).withColumn("_y", at((F.col("lat1") + F.col("lat2")) / 2))
-    met = p.join(s, ["_x", "_y"])
+    # By the size of its file alone, a table of points would be broadcast with all its cells.
+    met = p.hint("merge").join(few, ["_x", "_y"]) if (few := small(s)) is s else p.join(few, ["_x", "_y"])
     off, t = foot_on_segment(*[F.col(c) for c in ("lon", "lat", "lon1", "lat1", "lon2", "lat2")])
-    found = met.select("point", F.struct(off.alias("connector"), "edge", (F.col("start") + t * (F.col("end") - F.col("start"))).alias("along")).alias("s")).where(F.col("s.connector") <= metres)
-    return found.groupBy("point").agg(F.min("s").alias("s")).select("point", "s.edge", "s.along", "s.connector")
+    found = met.select("lon", "lat", F.struct(off.alias("connector"), "edge", (F.col("start") + t * (F.col("end") - F.col("start"))).alias("along")).alias("s")).where(F.col("s.connector") <= metres)
+    found = found.groupBy("lon", "lat").agg(F.min("s").alias("s"))
+    return points.select("point", "lon", "lat").hint("merge").join(found, ["lon", "lat"]).groupBy("point").agg(F.min("s").alias("s")).select("point", "s.edge", "s.along", "s.connector")
 
 
 def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: float, reverse: bool = False) -> DataFrame:

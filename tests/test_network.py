@@ -530,3 +530,18 @@ def test_chains_with_their_times(spark):
         key = (r.route, r.stops, r.chain)
         assert all(x >= y for x, y in zip(r.arrs + r.deps, last.get(key, [-1] * 8), strict=True))
         last[key] = r.arrs + r.deps
+
+
+@pytest.mark.parametrize("most", [200_000, 10])
+def test_points_to_snap_are_not_broadcast(spark, tmp_path, monkeypatch, most):
+    from isochrona.sources import staging
+
+    spark.range(300).selectExpr("id AS point", "24 + (id % 40) / 1000D AS lon", "60 + (id % 7) / 2000D AS lat").write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))
+    lines = spark.createDataFrame([(e, [(24 + e / 200, 60.0), (24.004 + e / 200, 60.002)]) for e in range(8)], "edge long, points array<struct<lon:double,lat:double>>")
+    monkeypatch.setattr(paths, "small", lambda df: staging.small(df, most))
+    found = paths.snaps(points, paths.pieces(lines), 300)
+    sides = [j for j in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in j or "SortMergeJoin" in j]
+    assert len(sides) == 2 and "SortMergeJoin" in sides[0] and ("BuildRight" in sides[1] if most > 10 else "SortMergeJoin" in sides[1])
+    want = {r.point for r in points.collect()}
+    assert {r.point for r in found.collect()} == want and all(r.connector <= 300 for r in found.collect())
