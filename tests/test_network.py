@@ -466,7 +466,7 @@ def test_the_runs_of_a_line_are_kept_in_parts(spark, monkeypatch):
 
 
 #: Queries whose lines were broadcast whole, however many runs they had.
-MANY_RUNS = "arrivals_excluding_route one_to_all_arrivals".split()
+MANY_RUNS = "arrivals_excluding_route one_to_all_arrivals pareto_rides".split()
 
 
 @pytest.mark.parametrize("name", MANY_RUNS)
