@@ -466,7 +466,7 @@ def test_the_runs_of_a_line_are_kept_in_parts(spark, monkeypatch):
 
 
 #: Queries whose lines were broadcast whole, however many runs they had.
-MANY_RUNS = "arrivals_excluding_route one_to_all_arrivals pareto_rides arrivals_excluding_stop arrivals_with_walks time_matrix time_matrix_percentiles".split()
+MANY_RUNS = "arrivals_excluding_route one_to_all_arrivals pareto_rides arrivals_excluding_stop arrivals_with_walks time_matrix time_matrix_percentiles time_matrix_all_stops".split()
 
 
 @pytest.mark.parametrize("name", MANY_RUNS)
