@@ -545,3 +545,15 @@ def test_points_to_snap_are_not_broadcast(spark, tmp_path, monkeypatch, most):
     assert len(sides) == 2 and "SortMergeJoin" in sides[0] and ("BuildRight" in sides[1] if most > 10 else "SortMergeJoin" in sides[1])
     want = {r.point for r in points.collect()}
     assert {r.point for r in found.collect()} == want and all(r.connector <= 300 for r in found.collect())
+
+
+def test_labels_look_through_one_part_of_a_line(spark, monkeypatch):
+    from isochrona.plans import registry
+
+    name, folder = "time_matrix_percentiles_all_stops", "/root/testdata/sf0.001"
+    want = sorted(map(tuple, registry.QUERIES[name](spark, folder).collect()))
+    monkeypatch.setattr(registry, "_PREPARED", {})
+    monkeypatch.setattr(journeys, "PART", 3)
+    assert sorted(map(tuple, registry.QUERIES[name](spark, folder).collect())) == want
+    (net,) = registry._PREPARED.values()
+    assert net.lines.selectExpr("max(size(runs))").first()[0] == 3
