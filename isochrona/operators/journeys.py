@@ -83,13 +83,18 @@ def of_lines(lines: DataFrame) -> Network:
     return Network(F.broadcast(parts) if few else parts.hint("merge"), small(boards))
 
 
-def _rides(net: Network, labels: DataFrame, closed: DataFrame | None) -> DataFrame:
+def _rides(net: Network, labels: DataFrame, closed: DataFrame | None, first: bool = False) -> DataFrame:
     """labels (KEY, stop, arrival, path, ...) with each later call of the first run of each line that can still be boarded:
-    columns stop, arrival and step are the new ones. A boarding at a run that begins the day before keeps its day."""
+    columns stop, arrival and step are the new ones. A boarding at a run that begins the day before keeps its day. first, for one
+    label a stop: a line is boarded at a later call only for an earlier run than at the calls before it; any other gives the same
+    or later arrivals by a greater step."""
     boards = net.boards if closed is None else net.boards.join(closed, "stop", "left_anti")
     ready = labels.join(boards, "stop").withColumn("ready", F.expr("arrival - off"))
-    # One part of a line at most has its first run still to come.
-    met = ready.join(net.lines, "line").where("(after IS NULL OR ready > after) AND ready <= last").withColumn("run", F.expr("get(filter(runs, r -> r.start >= ready), 0)")).where("run IS NOT NULL")
+    if first:
+        before = W.partitionBy(*KEY, "line").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+        ready = ready.withColumn("least", F.min("ready").over(before)).where("least IS NULL OR ready < least").drop("least")
+    # One part of a line at most has its first run still to come, and one that does has a run.
+    met = ready.join(net.lines, "line").where("(after IS NULL OR ready > after) AND ready <= last").withColumn("run", F.expr("get(filter(runs, r -> r.start >= ready), 0)"))
     own = [c for c in labels.columns if c not in ("stop", "arrival")]
     on = met.withColumn("b", F.expr("filter(calls, x -> x.pos = at)[0]")).selectExpr(*own, "stop AS board", "route", "factor", "run", "b", "inline(transform(filter(calls, x -> x.pos > at), x -> named_struct('x', x)))")
     step = F.expr(f"cast(named_struct('kind', 0, 'a', run.trip, 'b', run.day, 'c', b.pos, 'd', x.pos, 'f', board, 't', x.stop, 'dep', run.start + b.dep, 'arr', run.start + x.arr, 'm', x.cum - b.cum, 'g', factor, 'r', route) AS {net.step})")
@@ -126,18 +131,21 @@ def earliest(net: Network, seeds: DataFrame, rounds: int, transfers: DataFrame |
     if closed is not None:
         closed = small(closed)
         seeds = seeds.join(closed, "stop", "left_anti")
-    key, label = [*KEY, "stop"], F.struct("arrival", "path")
-    value = label if paths else F.struct("arrival", net.no_path.alias("path"))
+    key = [*KEY, "stop"]
+    # Without paths the arrivals alone are compared: a minimum of numbers needs no sort.
+    value = F.struct("arrival", "path") if paths else F.col("arrival")
+    label = (lambda v: F.col(v)) if paths else (lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("arrival"), net.no_path.alias("path"))))
 
     def joined(known: DataFrame, found: DataFrame) -> DataFrame:
         both = known.select(*key, value.alias("v"), F.lit(False).alias("new")).unionByName(found.select(*key, value.alias("v"), F.lit(True).alias("new")))
-        return both.groupBy(*key).agg(F.min(F.expr("IF(new, null, v)")).alias("was"), F.min(F.expr("IF(new, v, null)")).alias("now"))
+        least = both.groupBy(*key).agg(F.min(F.expr("IF(new, null, v)")).alias("was"), F.min(F.expr("IF(new, v, null)")).alias("now"))
+        return least.select(*key, label("was").alias("was"), label("now").alias("now"))
 
     better = "now IS NOT NULL AND (was IS NULL OR now.arrival < was.arrival)"
-    known = stage(_seeded(net, seeds, paths).groupBy(*key).agg(F.min(value).alias("v")).select(*key, "v.*"), "known")
+    known = stage(_seeded(net, seeds, paths).groupBy(*key).agg(F.min(value).alias("v")).select(*key, label("v").alias("v")).select(*key, "v.*"), "known")
     new, out = known, [known.withColumn("rides", F.lit(0))]
     for k in range(1, rounds + 1):
-        ridden = stage(joined(known, _grown(_rides(net, new, closed), paths)), "ridden")
+        ridden = stage(joined(known, _grown(_rides(net, new, closed, True), paths)), "ridden")
         new = ridden.where(better).select(*key, "now.*")
         if transfers is not None:
             base = (ridden.where("now IS NOT NULL") if exact else ridden.where(better)).select(*key, "now.*")

@@ -557,3 +557,32 @@ def test_labels_look_through_one_part_of_a_line(spark, monkeypatch):
     assert sorted(map(tuple, registry.QUERIES[name](spark, folder).collect())) == want
     (net,) = registry._PREPARED.values()
     assert net.lines.selectExpr("max(size(runs))").first()[0] == 3
+
+
+def test_a_line_is_boarded_again_only_for_an_earlier_run(spark, monkeypatch):
+    import random
+
+    random.seed(1)
+    calls = []
+    for route in range(3):
+        stops = [random.randrange(8) for _ in range(7)]  # a line may come to a stop twice
+        for i in range(40):
+            start = random.randrange(6000)
+            calls += [(100 * route + i, route, pos, s, start + 60 * pos, start + 60 * pos + 20) for pos, s in enumerate(stops)]
+    net = journeys.prepare(spark.createDataFrame(calls, "trip long, route long, pos int, stop long, arr long, dep long"))
+    seeds = spark.createDataFrame([(s, d, s, d) for s in range(8) for d in (0, 900)], "origin long, departure long, stop long, arrival long")
+    closed = spark.createDataFrame([(random.randrange(8),)], "stop long")
+    walks = spark.createDataFrame([(0, 5, 100), (3, 1, 30)], "from_stop long, to_stop long, seconds long")
+    cases = [{}, {"paths": True, "closed": closed, "transfers": walks, "exact": True}]
+    rides, made = journeys._rides, []
+    monkeypatch.setattr(journeys, "_rides", lambda *args: made.append((args[:3], rides(*args))) or made[-1][1])
+    got = [sorted(map(str, journeys.earliest(net, seeds, 3, **x).collect())) for x in cases]
+    args, second = made[1]
+    assert second.count() < rides(*args).count()
+    runs = second.groupBy("origin", "departure", "step.route", "step.c").agg(F.min(F.col("step.dep") - F.col("step.c") * 60)).collect()
+    by_line = {}
+    for origin, departure, route, pos, start in sorted(runs):
+        by_line.setdefault((origin, departure, route), []).append(start)
+    assert all(x == sorted(x, reverse=True) for x in by_line.values())
+    monkeypatch.setattr(journeys, "_rides", lambda *args: rides(*args[:3]))
+    assert got == [sorted(map(str, journeys.earliest(net, seeds, 3, **x).collect())) for x in cases]
