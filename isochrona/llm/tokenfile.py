@@ -37,13 +37,14 @@ MAGIC, END_ID, SHARD_IDS, CACHE, SLACK = b"IDSHARD1", 0, 1 << 22, 600_000, 1.6
 VOCABULARY = "byte_bpe_50k.json"
 #: Most tasks that read shards back.
 READERS = 20_000
-#: White space next to a space: there a text is not cut.
-_DOUBLE = re.compile(r" \s|[^\S ] ")
+#: Single spaces between words.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Within a part: between a Latin letter and a mark or line end, and around a single line end.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _INNER = re.compile(f"(?<=[{_LETTER}])(?=[.,;:!?\n][^{_LETTER}]|[.,;:!?\n]$|\n)|(?<=[.,;:!?])(?=\n[{_LETTER}])|(?<=[{_LETTER}.,;:!?]\n)(?=[{_LETTER}])")
 _LETTERS = re.compile(f" ?[{_LETTER}]+")
+#: A word and signs without an apostrophe, which the pre-tokenizer takes as one run.
+_SIGNED = re.compile(f"( ?[{_LETTER}]+)([!-&(-/:-@\\[-`{{-~]+)")
 
 
 def byte_letters() -> list[str]:
@@ -53,6 +54,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+#: The letter of a space.
+_SPACE = byte_letters()[32]
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -61,7 +66,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 class Encoder:
     """The library's ids of whole texts. A text is cut before single spaces between words, where its pre-tokenizer always cuts,
-    so that the library sees each distinct part once as long as a bounded store of parts lasts."""
+    so that the library sees each distinct part once as long as a bounded store of parts lasts. The store has a part that begins
+    with a space without it, any other with a space before it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
@@ -78,33 +84,57 @@ class Encoder:
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _bytes(self, encodings) -> list[bytes]:
-        return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in encodings]
+    def _library(self, text: str) -> bytes:
+        return self.pack(self.model.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         if any(t in text for t in self.special):
-            return self._bytes([self.model.encode(text, add_special_tokens=False)])[0]
-        first, *rest = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
-        parts = [first, *map(" ".__add__, rest)]
-        found = list(map(self.known.get, parts))
+            return self._library(text)
+        first, space, rest = text.partition(" ")
+        words = rest.split(" ") if space else []
+        found = list(map(self.known.get, words))
         if None in found:
-            found = [self._part(p) if x is None else x for p, x in zip(parts, found, strict=True)]
-        return b"".join(found)
+            found = [self._word(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        if None in found or first[-1:].isspace():  # white space next to a space: there a text is not cut
+            first, *words = _CUT.split(text)
+            found = [self._part(" " + w) for w in words]
+        return self._part(first) + b"".join(found)
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a space and word; None if word is empty or has white space at an end, such as is never stored."""
+        if (x := self.known.get(word)) is not None:
+            return x
+        if (x := self.old.get(word)) is None:
+            if word.isascii() and word.isalpha():  # one pre-token: the library's model step alone
+                x = self.pack([t.id for t in self.step(_SPACE + word)])
+            elif not word or word[0].isspace() or word[-1].isspace():
+                return None
+            else:
+                x = self._new(" " + word)
+        return self._stored(word, x)
 
     def _part(self, part: str) -> bytes:
-        """A part from the store of parts, of which the generation before the last goes when one is full, or from the library."""
-        if (x := self.known.get(part)) is not None:
+        """The ids of a part, from the store or the library."""
+        if part[:1] == " " and not part[1:2].isspace() and (x := self._word(part[1:])) is not None:
             return x
-        if (x := self.old.get(part)) is None:
-            if _LETTERS.fullmatch(part):  # one pre-token: the library's model step alone
-                x = self.pack([t.id for t in self.step(part.encode().decode("latin-1").translate(self.letters))])
-            elif len(cuts := _INNER.split(part)) > 1:
-                x = b"".join(map(self._part, cuts))
-            else:
-                x = self._bytes([self.model.encode(part, add_special_tokens=False)])[0]
+        if (x := self.known.get(key := " " + part)) is not None:
+            return x
+        return self._stored(key, self._new(part) if (x := self.old.get(key)) is None else x)
+
+    def _new(self, part: str) -> bytes:
+        if _LETTERS.fullmatch(part):  # one pre-token as well
+            return self.pack([t.id for t in self.step(part.encode().decode("latin-1").translate(self.letters))])
+        if m := _SIGNED.fullmatch(part):
+            return self._part(m[1]) + self._part(m[2])
+        if len(cuts := _INNER.split(part)) > 1:
+            return b"".join(map(self._part, cuts))
+        return self._library(part)
+
+    def _stored(self, key: str, x: bytes) -> bytes:
+        """Of the store, the generation before the last goes when one is full."""
         if len(self.known) >= CACHE:
             self.known, self.old = {}, self.known
-        self.known[part] = x
+        self.known[key] = x
         return x
 
 

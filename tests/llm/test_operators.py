@@ -132,6 +132,35 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(e(text), "<u2").tolist() == e.model.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_library_on_any_signs(monkeypatch):
+    import random
+
+    random.seed(5)
+    monkeypatch.setattr(tokenfile, "CACHE", 40)  # the store is full again and again
+    e = tokenfile.Encoder(tokenfile.vocabulary_path())
+    some = [*"aBé日5 \n\t.,'*#_`|~", " ", " ", "\u00a0", "\u2003", "\x1c", "the", "'ll", "***", "\r\n", "ª", "İ", "e\u0301"]
+    for _ in range(4000):
+        text = "".join(random.choices(some, k=random.randrange(14)))
+        assert np.frombuffer(e(text), "<u2").tolist() == e.model.encode(text, add_special_tokens=False).ids, text
+
+
+def test_encoder_takes_a_word_from_its_signs():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.texts = model, []
+
+        def encode(self, text, **more):
+            self.texts.append(text)
+            return self.model.encode(text, **more)
+
+    e = tokenfile.Encoder(tokenfile.vocabulary_path())
+    e.model = Counted(e.model)
+    words = [f"wo{a}{b}" for a in "abcdefgh" for b in "rstuvw"]
+    text = "x " + " ".join(w + signs for w in words for signs in ("***", "%%%", ".###", ""))
+    assert np.frombuffer(e(text), "<u2").tolist() == e.model.model.encode(text, add_special_tokens=False).ids
+    assert len(e.model.texts) <= 5
+
+
 def test_index_finds_stored_keys_only():
     keys = [None, None, *range(-5000, 5000, 3), 4996, 7**15]
     shard = tokenfile.Shard(tokenfile.shard_bytes(keys, [b"\x01\x00" * (i % 3) for i in range(len(keys))], 2))
