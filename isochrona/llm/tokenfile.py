@@ -270,7 +270,9 @@ def write_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabula
     store.create_dir(at, recursive=True)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     sorted_ = rows.repartitionByRange("k").sortWithinPartitions("k", "t").select(F.col("k").cast("string").alias("k"), "t")
-    manifest = stage(sorted_.mapInPandas(_written(folder, vocabulary or vocabulary_path()), "part int, seq int, file string, docs long, ids long"), "ids-manifest")
+    # One task writes the manifest, which is read as one window anyway: a file of a row or two from each encoding task costs more than its rows.
+    listed = sorted_.mapInPandas(_written(folder, vocabulary or vocabulary_path()), "part int, seq int, file string, docs long, ids long").repartition(1)
+    manifest = stage(listed, "ids-manifest")
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     return folder, manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -298,7 +300,9 @@ def _read(folder: str):
 def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
     """Per record: doc_id, start, n_tokens, ids_crc32, looked up by key in each file's index."""
     # A given number of partitions: the rows are tiny, the files they name are not, so adaptive execution must not put them together.
-    files = manifest.select("file", "base").repartition(max(1, min(manifest.count(), READERS)), "file")
+    # A task for each full shard's ids, not for each shard, of which many may be small.
+    n = -(-(manifest.agg(F.sum("ids")).first()[0] or 0) // SHARD_IDS)
+    files = manifest.select("file", "base").repartition(max(1, min(n, READERS)))
     return files.mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

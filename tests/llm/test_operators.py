@@ -562,3 +562,22 @@ def test_every_find_holds_a_hint(docs):
     for t in [*odd_texts, *(r.text or "" for r in docs.collect())]:
         for m in finds.finditer(t):
             assert hint.search(t), (t, m)
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """64 shuffle partitions that stay apart."""
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_small_shards_need_one_manifest_file_and_few_readers(docs, many_tasks):
+    folder, manifest = tokenfile.write_ids(docs)
+    assert manifest.count() > 32 and len(manifest.inputFiles()) == 1
+    back = tokenfile.read_ids(folder, manifest)
+    assert back.rdd.getNumPartitions() == 1 and back.count() == docs.count()
