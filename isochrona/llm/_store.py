@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows that a task that writes a table should have: each file costs its opening and, on a local file system, some processes.
+FILE_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +30,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def dense(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than rows fill, the rows that its last step reads at most; a table of many rows stays as it is."""
+    return df.coalesce(max(1, min(-(-rows // FILE_ROWS), 1 << 30)))
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors. Of rows see dense."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else dense(df, rows)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,22 +56,24 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Connected components of an edge table (a, b), both of one orderable type: rows (v, root), root the least member.
 
     Minimum labels spread along the edges, then each vertex jumps to its label's label; both steps are equi-joins and
     minima that combine before the shuffle, repeated on written tables until nothing changes. A jump joins only the labels that
     have moved themselves, one row each, broadcast if few; else a third of all vertices under one label is a skewed side that
-    adaptive execution splits, as is a hub's edges. Vertices without edges do not appear.
+    adaptive execution splits, as is a hub's edges. Vertices without edges do not appear. rows: how many edges there are at most,
+    if known; once the edges are written they are counted, and no later table has more rows.
     """
-    both = stage(edges.select("a", "b").where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = stage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-labels")
+    both = stage(edges.select("a", "b").where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", None if rows is None else 2 * rows)
+    n = both.count()
+    labels = stage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-labels", n)
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "root")
-        best = stage(near.unionByName(labels.select("v", "root")).groupBy("v").agg(F.min("root").alias("root")), f"{name}-labels")
+        best = stage(near.unionByName(labels.select("v", "root")).groupBy("v").agg(F.min("root").alias("root")), f"{name}-labels", 2 * n)
         moved = best.select("root").distinct().join(best.select(F.col("v").alias("root"), F.col("root").alias("next")), "root").where("root <> next")
-        jumped = best.join(small(stage(moved, f"{name}-moved")), "root", "left").select("v", F.least("root", "next").alias("root"))
-        after = stage(jumped, f"{name}-labels")
+        jumped = best.join(small(stage(moved, f"{name}-moved", n)), "root", "left").select("v", F.least("root", "next").alias("root"))
+        after = stage(jumped, f"{name}-labels", n)
         changed = after.join(labels.withColumnRenamed("root", "was"), "v").where("root <> was").limit(1).count()
         labels = after
         if not changed:

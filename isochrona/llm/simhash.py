@@ -15,6 +15,7 @@ empty table gives an empty result; other columns are carried along by `represent
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, free, small, stage
+from ._store import components, dense, free, small, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 PIECE = 1 << 15
@@ -80,41 +81,48 @@ def _keys(blocks: int, radius: int = RADIUS) -> str:
 def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for distinct fingerprints (fp, n): connected components of all pairs within the radius."""
     points = stage(points, "simhash-points")
-    keys = _keys(blocks or block_count(points.count(), radius), radius).replace("-9223372036854775808L", "shiftleft(1L, 63)")
-    members = stage(points.selectExpr("fp", "n", f"inline({keys})"), "simhash-keys")
+    n = points.count()
+    blocks = blocks or block_count(n, radius)
+    n_keys = n * comb(blocks, radius)
+    keys = _keys(blocks, radius).replace("-9223372036854775808L", "shiftleft(1L, 63)")
+    members = stage(points.selectExpr("fp", "n", f"inline({keys})"), "simhash-keys", n_keys)
     centre = members.groupBy("k", "bits").agg(F.max(F.struct("n", "fp"))["fp"].alias("mid"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    centre = stage(centre.drop("c"), "simhash-centres")
+    centre = stage(centre.drop("c"), "simhash-centres", n_keys)
     near = f"bit_count(fp ^ mid) <= {radius} AND fp <> mid"
-    stars = stage(members.join(centre, ["k", "bits"]).where(near).selectExpr("fp AS a", "mid AS b").distinct(), "simhash-stars")
-    groups = components(stars, "simhash-star")
-    grouped = stage(points.join(groups.withColumnRenamed("v", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS g"), "simhash-groups")
+    stars = stage(members.join(centre, ["k", "bits"]).where(near).selectExpr("fp AS a", "mid AS b").distinct(), "simhash-stars", n_keys)
+    groups = components(stars, "simhash-star", stars.count())
+    grouped = stage(points.join(groups.withColumnRenamed("v", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS g"), "simhash-groups", 2 * n)
     # Keys under which different groups meet, with the largest of them.
-    seen = stage(grouped.selectExpr("fp", "g", f"inline({keys})"), "simhash-seen")
+    seen = stage(grouped.selectExpr("fp", "g", f"inline({keys})"), "simhash-seen", n_keys)
     met = seen.groupBy("k", "bits", "g").agg(F.count(F.lit(1)).alias("c"))
-    met = met.groupBy("k", "bits").agg(F.max(F.struct("c", "g"))["g"].alias("most"), F.count(F.lit(1)).alias("gs")).where("gs > 1")
-    met = stage(met.drop("gs"), "simhash-met")
-    mixed = stage(seen.join(met, ["k", "bits"]), "simhash-mixed")
+    pairs = F.expr("(sum(c) - max(c)) * cast(sum(c) AS double)").alias("pairs")
+    met = met.groupBy("k", "bits").agg(F.max(F.struct("c", "g"))["g"].alias("most"), F.count(F.lit(1)).alias("gs"), pairs).where("gs > 1")
+    met = stage(met.drop("gs"), "simhash-met", n_keys)
+    most = int(met.agg(F.sum("pairs")).first()[0] or 0)
+    mixed = stage(seen.join(met.drop("pairs"), ["k", "bits"]), "simhash-mixed", 2 * n_keys)
     few = mixed.where("g <> most").selectExpr("k", "bits", "fp AS fp2", "g AS g2")
     across = mixed.drop("most").join(few, ["k", "bits"]).where(f"g <> g2 AND bit_count(fp ^ fp2) <= {radius}").selectExpr("g AS a", "g2 AS b").distinct()
-    over = components(across, "simhash-over")
+    over = components(across, "simhash-over", most)
     return grouped.join(over.withColumnRenamed("v", "g"), "g", "left").selectExpr("fp", "coalesce(root, g) AS root")
 
 
 def clusters(prints: DataFrame, **options) -> DataFrame:
     """(_s_fp, component_id) from (_s_id, _s_fp): the least id of the documents whose fingerprints are linked."""
-    points = stage(prints.groupBy(F.col("_s_fp").alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min("_s_id").alias("least")), "simhash-prints")
+    n = prints.count()
+    points = stage(prints.groupBy(F.col("_s_fp").alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min("_s_id").alias("least")), "simhash-prints", n)
     roots = linked(points.select("fp", "n"), **options).join(points.select("fp", "least"), "fp")
-    roots = stage(roots, "simhash-roots")
+    roots = stage(roots, "simhash-roots", 2 * n)
     # Only groups of several fingerprints have another id than their own, one row each.
     several = roots.groupBy("root").agg(F.min("least").alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return roots.join(small(stage(several, "simhash-several")), "root", "left").select(F.col("fp").alias("_s_fp"), F.expr("coalesce(own, least) AS component_id"))
+    return roots.join(small(stage(several, "simhash-several", n)), "root", "left").select(F.col("fp").alias("_s_fp"), F.expr("coalesce(own, least) AS component_id"))
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     prints = stage(fingerprints(docs), "simhash-docs")
-    out = prints.join(stage(clusters(prints), "simhash-clusters"), "_s_fp")
-    return out.select(F.col("_s_id").alias("doc_id"), F.lower(F.lpad(F.hex("_s_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    n = prints.count()
+    out = prints.join(stage(clusters(prints), "simhash-clusters", 2 * n), "_s_fp")
+    return dense(out, 2 * n).select(F.col("_s_id").alias("doc_id"), F.lower(F.lpad(F.hex("_s_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -127,7 +135,7 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     names = [free(n, docs.columns) for n in ("_s_none", "_s_key", "_s_hash")]
     own = dict(zip(names, (f"cast(`{key}` IS NULL AS long)", f"coalesce(cast(`{key}` AS long), 0)", f"xxhash64(`{text}`)"), strict=True))
     known = stage(fingerprints(docs, text, own).select(F.struct(*own).alias("_s_id"), "_s_fp"), "simhash-docs")
-    kept = stage(clusters(known).select("component_id.*").distinct(), "simhash-kept")
+    kept = stage(clusters(known).select("component_id.*").distinct(), "simhash-kept", known.count())
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
     once = docs.groupBy(*[F.expr(v).alias(k) for k, v in own.items()]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), tie).alias("row"))
     return once.join(kept, names, "left_semi").select("row.*")

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from isochrona.llm import chat, mixing, ngram, pieces, pii, quality, simhash, tokenfile, vectors, wordpiece
+from isochrona.llm import _store, chat, mixing, ngram, pieces, pii, quality, simhash, tokenfile, vectors, wordpiece
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -581,3 +581,19 @@ def test_small_shards_need_one_manifest_file_and_few_readers(docs, many_tasks):
     assert manifest.count() > 32 and len(manifest.inputFiles()) == 1
     back = tokenfile.read_ids(folder, manifest)
     assert back.rdd.getNumPartitions() == 1 and back.count() == docs.count()
+
+
+def test_small_tables_are_written_in_few_files(monkeypatch, spark, docs, many_tasks):
+    made, fresh = [], _store.fresh_path
+    monkeypatch.setattr(_store, "fresh_path", lambda spark, name: made.append(fresh(spark, name)) or made[-1])
+    want = {r.doc_id: r.component_id for r in simhash.simhash_report(docs).collect()}
+    files = [len(spark.read.parquet(p).inputFiles()) for p in made]
+    assert len(files) > 20 and max(files) <= 4, dict(zip(made, files, strict=True))
+    monkeypatch.setattr(_store, "dense", lambda df, rows: df)
+    assert {r.doc_id: r.component_id for r in simhash.simhash_report(docs).collect()} == want
+
+
+def test_large_tables_are_written_by_all_tasks(monkeypatch, spark):
+    monkeypatch.setattr(_store, "FILE_ROWS", 10)
+    many = spark.range(0, 95, 1, 32)
+    assert [_store.dense(many, n).rdd.getNumPartitions() for n in (0, 10, 95, 10**6, 10**30)] == [1, 1, 10, 32, 32]
