@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow.parquet as pq
+from pyarrow import ArrowInvalid, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -35,11 +38,38 @@ def dense(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, min(-(-rows // FILE_ROWS), 1 << 30)))
 
 
+def _plain(kind: DataType) -> bool:
+    """Whether Arrow and Spark write the type to Parquet alike."""
+    if isinstance(kind, StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    return kind.typeName() in ("long", "integer", "double", "boolean", "string", "binary")
+
+
+def _folder(spark: SparkSession, path: str):
+    """pyarrow's file system and path, as Hadoop's default one reads it, or None where it knows none: only Spark's writers reach it."""
+    if path.startswith("/"):
+        path = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").rstrip("/") + path
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (ArrowInvalid, OSError):
+        return None
+
+
 def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors. Of rows see dense."""
+    """Write df to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: how many it has at most, if known; of these see dense. A table of so few that it may be broadcast is written by the driver
+    as one file, through pyarrow: Hadoop's local file system starts a process for each file and folder, and until such a child of
+    an executor is another program, it shares all memory of the JVM and counts as much once more.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df if rows is None else dense(df, rows)).write.parquet(path)
+    df = df if rows is None else dense(df, rows)
+    if rows is not None and rows <= BROADCAST_ROWS and _plain(df.schema) and (at := _folder(spark, path)):
+        at[0].create_dir(at[1])
+        pq.write_table(df.toArrow(), f"{at[1]}/part-0.parquet", filesystem=at[0])
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

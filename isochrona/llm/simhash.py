@@ -78,16 +78,17 @@ def _keys(blocks: int, radius: int = RADIUS) -> str:
     return "array(" + ", ".join(f"named_struct('k', {c}, 'bits', fp & {signed(sum(masks[i] for i in chosen))}L)" for c, chosen in enumerate(combinations(range(blocks), blocks - radius))) + ")"
 
 
-def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for distinct fingerprints (fp, n): connected components of all pairs within the radius."""
-    points = stage(points, "simhash-points")
+def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
+    """(fp, root) for distinct fingerprints (fp, n), rows at most if known: connected components of all pairs within the radius."""
+    points = stage(points, "simhash-points", rows)
     n = points.count()
     blocks = blocks or block_count(n, radius)
     n_keys = n * comb(blocks, radius)
     keys = _keys(blocks, radius).replace("-9223372036854775808L", "shiftleft(1L, 63)")
     members = stage(points.selectExpr("fp", "n", f"inline({keys})"), "simhash-keys", n_keys)
     centre = members.groupBy("k", "bits").agg(F.max(F.struct("n", "fp"))["fp"].alias("mid"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    centre = stage(centre.drop("c"), "simhash-centres", n_keys)
+    # Few of a key's rows are left here and below: rebalanced, they are written by as many tasks as they fill.
+    centre = stage(centre.drop("c").hint("rebalance"), "simhash-centres", n_keys)
     near = f"bit_count(fp ^ mid) <= {radius} AND fp <> mid"
     stars = stage(members.join(centre, ["k", "bits"]).where(near).selectExpr("fp AS a", "mid AS b").distinct(), "simhash-stars", n_keys)
     groups = components(stars, "simhash-star", stars.count())
@@ -97,7 +98,7 @@ def linked(points: DataFrame, blocks: int | None = None, radius: int = RADIUS) -
     met = seen.groupBy("k", "bits", "g").agg(F.count(F.lit(1)).alias("c"))
     pairs = F.expr("(sum(c) - max(c)) * cast(sum(c) AS double)").alias("pairs")
     met = met.groupBy("k", "bits").agg(F.max(F.struct("c", "g"))["g"].alias("most"), F.count(F.lit(1)).alias("gs"), pairs).where("gs > 1")
-    met = stage(met.drop("gs"), "simhash-met", n_keys)
+    met = stage(met.drop("gs").hint("rebalance"), "simhash-met", n_keys)
     most = int(met.agg(F.sum("pairs")).first()[0] or 0)
     mixed = stage(seen.join(met.drop("pairs"), ["k", "bits"]), "simhash-mixed", 2 * n_keys)
     few = mixed.where("g <> most").selectExpr("k", "bits", "fp AS fp2", "g AS g2")
@@ -110,7 +111,7 @@ def clusters(prints: DataFrame, **options) -> DataFrame:
     """(_s_fp, component_id) from (_s_id, _s_fp): the least id of the documents whose fingerprints are linked."""
     n = prints.count()
     points = stage(prints.groupBy(F.col("_s_fp").alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.min("_s_id").alias("least")), "simhash-prints", n)
-    roots = linked(points.select("fp", "n"), **options).join(points.select("fp", "least"), "fp")
+    roots = linked(points.select("fp", "n"), rows=n, **options).join(points.select("fp", "least"), "fp")
     roots = stage(roots, "simhash-roots", 2 * n)
     # Only groups of several fingerprints have another id than their own, one row each.
     several = roots.groupBy("root").agg(F.min("least").alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import zlib
 
 import duckdb
@@ -597,3 +598,60 @@ def test_large_tables_are_written_by_all_tasks(monkeypatch, spark):
     monkeypatch.setattr(_store, "FILE_ROWS", 10)
     many = spark.range(0, 95, 1, 32)
     assert [_store.dense(many, n).rdd.getNumPartitions() for n in (0, 10, 95, 10**6, 10**30)] == [1, 1, 10, 32, 32]
+
+
+@pytest.fixture
+def made(monkeypatch):
+    """The paths of the tables staged from now on, by Spark's writers those with a _SUCCESS."""
+    paths, fresh = [], _store.fresh_path
+    monkeypatch.setattr(_store, "fresh_path", lambda spark, name: paths.append(fresh(spark, name)) or paths[-1])
+    return paths
+
+
+def _by_spark(paths):
+    return [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in paths if os.path.exists(f"{p.removeprefix('file://')}/_SUCCESS")]
+
+
+def test_tables_of_few_rows_need_no_process_for_a_file(monkeypatch, docs, made):
+    want = sorted(map(str, simhash.representatives(docs).collect()))
+    assert len(made) > 20 and _by_spark(made) == ["simhash-docs"]
+    monkeypatch.setattr(_store, "BROADCAST_ROWS", -1)
+    made.clear()
+    assert sorted(map(str, simhash.representatives(docs).collect())) == want
+    assert len(_by_spark(made)) == len(made) > 20
+
+
+def test_tables_written_by_the_driver_come_back_whole(spark, made):
+    kinds = "a bigint, b struct<x: bigint, y: string>, c int, d double, e binary, f boolean"
+    rows = [(-(2**63), (2**63 - 1, "\ud7ff\U0010ffff"), 1, float("inf"), b"\x00", True), (None, None, None, None, None, None), (0, (None, ""), 2, -0.0, b"", False)]
+    for some in (rows, []):
+        df = spark.createDataFrame(some, kinds)
+        back = _store.stage(df, "few", len(some))
+        assert back.schema == df.schema and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    days = spark.sql("SELECT INTERVAL '1' DAY AS i, map(1, 2) AS m")
+    assert _store.stage(days, "odd", 1).collect() == days.collect()
+    assert _by_spark(made) == ["odd"]
+
+
+def test_paths_that_only_spark_reaches_are_left_to_it(spark):
+    assert _store._folder(spark, "viewfs://store/shared/x") is None and _store._folder(spark, "shared/x") is None
+    assert [_store._folder(spark, p)[1] for p in ("/shared/x", "file:/shared/x", "file:///shared/x")] == ["/shared/x"] * 3
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store")
+    try:
+        assert _store._folder(spark, "/shared/x") is None
+    finally:
+        conf.set("fs.defaultFS", was)
+
+
+def test_the_few_keys_that_are_left_are_written_by_few_tasks(monkeypatch, spark, docs, made):
+    monkeypatch.setattr(_store, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(_store, "FILE_ROWS", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "8k")
+    try:
+        simhash.representatives(docs).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    files = [len(spark.read.parquet(p).inputFiles()) for p in made if "simhash-centres" in p or "simhash-met" in p]
+    assert files == [1, 1]
