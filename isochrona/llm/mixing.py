@@ -95,11 +95,12 @@ def draw(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     rows = stage(rows, "mix-rows")
     n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks, shards = blocks or plan(n, words)[0], shards or plan(n, words)[1]
+    # No table of blocks, sources or quotas has more rows than there are documents.
     # Rows alike in key and text would all lie in one block: there the place of each decides too.
-    alike = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.lit(True).alias("alike")), "mix-alike")
+    alike = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.lit(True).alias("alike")), "mix-alike", n)
     rows = rows.join(small(alike), "h", "left").withColumn("u", F.expr("IF(alike, xxhash64(h, id), h)")).drop("alike").withColumn("block", F.pmod("u", F.lit(blocks)).cast("int"))
-    block = stage(rows.groupBy("src", "block").agg(F.sum("size").alias("words")), "mix-blocks")
-    by_source = stage(sources(block.select(F.col("src").alias("_x_source"), F.col("words").alias("size"))), "mix-sources").withColumnRenamed("_x_source", "src")
+    block = stage(rows.groupBy("src", "block").agg(F.sum("size").alias("words")), "mix-blocks", n)
+    by_source = stage(sources(block.select(F.col("src").alias("_x_source"), F.col("words").alias("size"))), "mix-sources", n).withColumnRenamed("_x_source", "src")
     s, blk = by_source.alias("s"), block.alias("b")
     at = W.partitionBy("src").orderBy("block")
     q = blk.join(small(s), F.expr("b.src <=> s.src")).selectExpr("b.src", "b.block", "words", "source_size", "target")
@@ -107,7 +108,7 @@ def draw(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     q = q.withColumn("end", F.sum("words").over(at)).withColumn("start", F.col("end") - F.col("words"))
     # part: 1 for a block drawn once more, 0 for none, null for the block in which the target is reached.
     q = q.withColumn("part", F.expr("CASE WHEN words = 0 OR start >= rest THEN 0 WHEN end <= rest THEN 1 END"))
-    q = stage(q.withColumn("draws", F.expr("times + IF(part IS NULL OR part = 1, 1, 0)")), "mix-quotas")
+    q = stage(q.withColumn("draws", F.expr("times + IF(part IS NULL OR part = 1, 1, 0)")), "mix-quotas", n)
 
     # The order of the sources in the arrays, and each source's cumulated blocks by shard.
     quota = q.groupBy("src").agg(F.sum("draws").cast("long").alias("quota"))
@@ -126,11 +127,11 @@ def draw(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     dealt = stage(dealt.selectExpr("q.src AS s", "q.block AS b", "source_size", "target", "times", "part", "rest - start AS room", "coalesce(shards, cast(array() AS array<int>)) AS shards"), "mix-dealt")
 
     all_docs = rows.join(small(dealt), F.expr("src <=> s AND block = b"))
-    split = stage(all_docs.where("part IS NULL").select("id", "src", "block", "u", "size", "room"), "mix-edge")
+    split = stage(all_docs.where("part IS NULL").select("id", "src", "block", "u", "size", "room"), "mix-edge", n)
     # Of the block in which the target is reached, the documents up to the one that comes nearest.
     run = W.partitionBy("src", "block").orderBy("u", "id").rowsBetween(W.unboundedPreceding, 0)
     split = split.withColumn("end", F.sum("size").over(run)).where("end - size / 2 <= room").select("id", F.lit(True).alias("inside"))
-    out = all_docs.join(small(stage(split, "mix-inside")), "id", "left")
+    out = all_docs.join(small(stage(split, "mix-inside", n)), "id", "left")
     taken = "CASE WHEN part IS NOT NULL OR inside THEN shards ELSE slice(shards, 1, times) END"
     return out.select("row", F.expr(f"named_struct('id', id, 'h', u, 'size', size, 'source_size', source_size, 'target', target, 'shards', {taken})").alias("x"))
 

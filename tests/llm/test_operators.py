@@ -655,3 +655,12 @@ def test_the_few_keys_that_are_left_are_written_by_few_tasks(monkeypatch, spark,
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
     files = [len(spark.read.parquet(p).inputFiles()) for p in made if "simhash-centres" in p or "simhash-met" in p]
     assert files == [1, 1]
+
+
+def test_tables_of_few_blocks_need_no_process_for_a_file(monkeypatch, docs, odd):
+    paths, fresh = [], _store.fresh_path
+    monkeypatch.setattr(_store, "fresh_path", lambda spark, name: paths.append(fresh(spark, name)) or paths[-1])
+    want = [sorted(map(str, mixing.draw(x).collect())) for x in (docs, odd)]
+    assert _by_spark(paths) == ["mix-rows", "mix-tree", "mix-dealt"] * 2
+    monkeypatch.setattr(_store, "BROADCAST_ROWS", -1)
+    assert [sorted(map(str, mixing.draw(x).collect())) for x in (docs, odd)] == want
