@@ -105,16 +105,33 @@ def arrivals_with_walks(spark, sf_dir):
     return _by_rides(_arrivals(spark, sf_dir, transfers=_walks(spark, sf_dir)))
 
 
-ORIGINS = (0, 1, 2, 3)
+#: Rides of the reference's default of 7 transfers.
+ALL_ROUNDS = 8
+
+
+def _all_values(departures=(DEPARTURE,)) -> str:
+    return "SELECT stop AS o, d, stop, d AS a FROM stops, (VALUES " + ", ".join(f"({d}::BIGINT)" for d in departures) + ") v(d)"
+
+
+def _all_arrivals(spark, sf_dir, departures=(DEPARTURE,)):
+    """From all stops, with the reference's rounds."""
+    seeds = spark.range(fx.n_stops(spark, sf_dir)).withColumn("departure", F.explode(F.array(*[F.lit(d).cast("long") for d in departures])))
+    seeds = seeds.select(F.col("id").alias("origin"), "departure", F.col("id").alias("stop"), F.col("departure").alias("arrival"))
+    return journeys.earliest(prepared(spark, sf_dir, "true", fx.stop_times), seeds, ALL_ROUNDS)
 
 
 def _times(found):
     return found.groupBy(F.col("origin").alias("from_id"), F.col("stop").alias("to_id")).agg(F.min(F.col("arrival") - F.col("departure")).alias("travel_time_s"))
 
 
-@_query("time_matrix", _with("SELECT o AS from_id, stop AS to_id, a - d AS travel_time_s FROM b3", *rounds_sql(_values(ORIGINS), 3)))
+TIMES_SQL = _with(f"SELECT o AS from_id, stop AS to_id, a - d AS travel_time_s FROM b{ALL_ROUNDS}", *rounds_sql(_all_values(), ALL_ROUNDS))
+
+
+# Two names of the whole matrix.
+@_query("time_matrix_all_stops", TIMES_SQL)
+@_query("time_matrix", TIMES_SQL)
 def time_matrix(spark, sf_dir):
-    return _times(_arrivals(spark, sf_dir, ORIGINS, rounds=3))
+    return _times(_all_arrivals(spark, sf_dir))
 
 
 MINUTES = tuple(DEPARTURE + 60 * i for i in range(5))
@@ -133,26 +150,6 @@ def time_matrix_percentiles(spark, sf_dir):
     return _percentiles(_arrivals(spark, sf_dir, (0, 1), MINUTES, rounds=2))
 
 
-#: Rides of the reference's default of 7 transfers.
-ALL_ROUNDS = 8
-
-
-def _all_values(departures=(DEPARTURE,)) -> str:
-    return "SELECT stop AS o, d, stop, d AS a FROM stops, (VALUES " + ", ".join(f"({d}::BIGINT)" for d in departures) + ") v(d)"
-
-
-def _all_arrivals(spark, sf_dir, departures=(DEPARTURE,)):
-    """From all stops, with the reference's rounds."""
-    seeds = spark.range(fx.n_stops(spark, sf_dir)).withColumn("departure", F.explode(F.array(*[F.lit(d).cast("long") for d in departures])))
-    seeds = seeds.select(F.col("id").alias("origin"), "departure", F.col("id").alias("stop"), F.col("departure").alias("arrival"))
-    return journeys.earliest(prepared(spark, sf_dir, "true", fx.stop_times), seeds, ALL_ROUNDS)
-
-
-@_query("time_matrix_all_stops", _with(f"SELECT o AS from_id, stop AS to_id, a - d AS travel_time_s FROM b{ALL_ROUNDS}", *rounds_sql(_all_values(), ALL_ROUNDS)))
-def time_matrix_all_stops(spark, sf_dir):
-    return _times(_all_arrivals(spark, sf_dir))
-
-
 @_query("time_matrix_percentiles_all_stops", _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b{ALL_ROUNDS}) GROUP BY ALL", *rounds_sql(_all_values(MINUTES), ALL_ROUNDS)))
 def time_matrix_percentiles_all_stops(spark, sf_dir):
     return _percentiles(_all_arrivals(spark, sf_dir, MINUTES))

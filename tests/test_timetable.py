@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from isochrona.functions import scalars
@@ -83,3 +84,32 @@ def test_full_matrices_equal_brute_force(spark):
             t = sorted(b.get(r.to_id, math.inf) for b in by_minute)
             want = [None if x == math.inf else x for x in t[1:4]]
             assert [r.travel_time_p25_s, r.travel_time_p50_s, r.travel_time_p75_s] == want
+
+
+def _all_times(spark, sf, departures):
+    """Seconds from all stops by (to, departure, from), infinite where not reached: eight rounds, trip by trip."""
+    from isochrona.sources import fixtures as fx
+
+    m, trips = fx.n_stops(spark, sf), {}
+    for r in fx.stop_times(spark, sf).where(F.col("dep") >= min(departures)).orderBy("trip", "pos").collect():
+        trips.setdefault(r.trip, []).append((r.stop, r.arr, r.dep))
+    left = np.array(departures, float)[:, None]
+    best = np.where(np.eye(m)[:, None, :] == 1, left, np.inf)
+    for _ in range(8):
+        new = best.copy()
+        for calls in trips.values():
+            aboard = np.zeros(best.shape[1:], bool)
+            for stop, arr, dep in calls:
+                np.minimum(new[stop], arr, out=new[stop], where=aboard)
+                aboard |= best[stop] <= dep
+        best = new
+    return best - left
+
+
+def test_time_matrix_is_whole(spark):
+    from isochrona.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r.from_id, r.to_id): r.travel_time_s for r in registry.QUERIES["time_matrix"](spark, sf).collect()}
+    times = _all_times(spark, sf, [registry.DEPARTURE])
+    assert got == {(o, s): t for (s, _, o), t in np.ndenumerate(times) if t < math.inf}
