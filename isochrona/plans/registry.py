@@ -54,16 +54,16 @@ def rounds_sql(seeds: str, rounds: int = ROUNDS, ban: str = "true", shut: str =
     return out
 
 
-def _seeds(spark, origins, departures=(DEPARTURE,)):
-    return spark.createDataFrame([(o, d, o, d) for o in origins for d in departures], "origin long, departure long, stop long, arrival long")
+def _seeds(spark, origins):
+    return spark.createDataFrame([(o, DEPARTURE, o, DEPARTURE) for o in origins], "origin long, departure long, stop long, arrival long")
 
 
-def _values(origins, departures=(DEPARTURE,)) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({o}::BIGINT, {d}::BIGINT, {o}::BIGINT, {d}::BIGINT)" for o in origins for d in departures) + ") v(o, d, stop, a)"
+def _values(origins) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({o}::BIGINT, {DEPARTURE}::BIGINT, {o}::BIGINT, {DEPARTURE}::BIGINT)" for o in origins) + ") v(o, d, stop, a)"
 
 
-def _arrivals(spark, sf_dir, origins=(0,), departures=(DEPARTURE,), rounds=ROUNDS, where="true", **more):
-    return journeys.earliest(prepared(spark, sf_dir, where, lambda s, d: fx.stop_times(s, d).where(where)), _seeds(spark, origins, departures), rounds, **more)
+def _arrivals(spark, sf_dir, origins=(0,), where="true", **more):
+    return journeys.earliest(prepared(spark, sf_dir, where, lambda s, d: fx.stop_times(s, d).where(where)), _seeds(spark, origins), ROUNDS, **more)
 
 
 BY_RIDES = "SELECT k AS rides, stop, a AS arrival FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, stop, a FROM b{k}" for k in range(1, ROUNDS + 1)) + ")"
@@ -145,13 +145,13 @@ def _percentiles(found):
     return all_minutes.select(F.col("origin").alias("from_id"), F.col("stop").alias("to_id"), *[scalars.nearest_rank(F.col("l"), p).alias(f"travel_time_p{p}_s") for p in (25, 50, 75)])
 
 
-@_query("time_matrix_percentiles", _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b2) GROUP BY ALL", *rounds_sql(_values([0, 1], MINUTES), 2)))
-def time_matrix_percentiles(spark, sf_dir):
-    return _percentiles(_arrivals(spark, sf_dir, (0, 1), MINUTES, rounds=2))
+PERCENTILES_SQL = _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b{ALL_ROUNDS}) GROUP BY ALL", *rounds_sql(_all_values(MINUTES), ALL_ROUNDS))
 
 
-@_query("time_matrix_percentiles_all_stops", _with(f"SELECT o AS from_id, stop AS to_id, {_RANK.format(p=25)} AS travel_time_p25_s, {_RANK.format(p=50)} AS travel_time_p50_s, {_RANK.format(p=75)} AS travel_time_p75_s FROM (SELECT o, stop, a - d AS t FROM b{ALL_ROUNDS}) GROUP BY ALL", *rounds_sql(_all_values(MINUTES), ALL_ROUNDS)))
-def time_matrix_percentiles_all_stops(spark, sf_dir):
+# Two names of the whole matrix.
+@_query("time_matrix_percentiles_all_stops", PERCENTILES_SQL)
+@_query("time_matrix_percentiles", PERCENTILES_SQL)
+def time_matrix_percentiles(spark, sf_dir):
     return _percentiles(_all_arrivals(spark, sf_dir, MINUTES))
 
 

@@ -113,3 +113,13 @@ def test_time_matrix_is_whole(spark):
     got = {(r.from_id, r.to_id): r.travel_time_s for r in registry.QUERIES["time_matrix"](spark, sf).collect()}
     times = _all_times(spark, sf, [registry.DEPARTURE])
     assert got == {(o, s): t for (s, _, o), t in np.ndenumerate(times) if t < math.inf}
+
+
+def test_time_matrix_percentiles_is_whole(spark):
+    from isochrona.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r.from_id, r.to_id): (r.travel_time_p25_s, r.travel_time_p50_s, r.travel_time_p75_s) for r in registry.QUERIES["time_matrix_percentiles"](spark, sf).collect()}
+    times = np.sort(_all_times(spark, sf, registry.MINUTES), axis=1)
+    want = {(o, s): tuple(None if t == math.inf else t for t in times[s, 1:4, o]) for s, o in np.argwhere(times[:, 0] < math.inf).tolist()}
+    assert got == want
